@@ -251,7 +251,7 @@ def manifest_path_audit(manifests: DataFrame, files: DataFrame, key: str = "name
             wanted.filter(F.col("glob") != F.concat("folder", F.lit("*"))).withColumn("_re", pattern),
             "folder",
         )
-        .filter(F.col("path").rlike(F.col("_re")))
+        .filter(F.regexp_like("path", F.col("_re")))
         .select("glob")
         .distinct()
     )
