@@ -124,12 +124,12 @@ def _artifact_sql() -> tuple[str, str]:
 
 @query(_artifact_sql()[0])
 def clean_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.clean_artifacts(d.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return prepare.clean_artifacts(d.documents(spark, sf).select("doc_id", "text"), "text")
 
 
 @query(_artifact_sql()[1])
 def artifact_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.artifact_hits(d.table(spark, sf, "documents"), "text")
+    return prepare.artifact_hits(d.documents(spark, sf), "text")
 
 
 def _sentences_sql(source: str, key: str) -> str:
@@ -166,7 +166,7 @@ def classify_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def train_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.table(spark, sf, "documents")
+    docs = d.documents(spark, sf)
     model = prepare.train_text_classifier(docs, d.table(spark, sf, "labels"))
     return prepare.score_text(model, docs)
 
@@ -186,7 +186,7 @@ def _script_sql() -> str:
 
 @query(_script_sql())
 def script_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.script_profile(d.table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    return prepare.script_profile(d.documents(spark, sf).select("doc_id", "text")).drop("text")
 
 
 @query(
@@ -194,4 +194,4 @@ def script_profile(spark: SparkSession, sf: str) -> DataFrame:
        FROM documents GROUP BY 1"""
 )
 def dedup_content(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.dedup_content(d.table(spark, sf, "documents"), "text", "doc_id")
+    return prepare.dedup_content(d.documents(spark, sf), "text", "doc_id")

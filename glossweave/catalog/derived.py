@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossweave.functions import text as tx
 from glossweave.operators.ingest import extract_blocks
 from glossweave.operators.terms import HONORIFICS
+from glossweave.plans.scale import spread
 from glossweave.sources import read_pages
 
 START = "2024-01-01 00:00:00"
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -215,7 +220,7 @@ def blocks_v2(spark: SparkSession, sf: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf)
         .select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         .filter(F.trim("text") != "")
         .select("doc_id", "pos", "text", "lang")

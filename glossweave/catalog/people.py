@@ -53,7 +53,7 @@ def sfx_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     d.with_views(
         f"""SELECT doc_id, pos, count(*) AS n_words, count(g.term) AS n_hits,
-              count(DISTINCT g.term) AS n_terms, round(count(g.term) / count(*), 6) AS coverage
+              round(count(g.term) / count(*), 6) AS coverage
             FROM (SELECT doc_id, pos, unnest({d.sql_words('text')}) AS term FROM segments) w
             LEFT JOIN glossary g USING (term) GROUP BY 1, 2""",
         "segments",
@@ -230,7 +230,7 @@ def _anonymize_sql() -> str:
 
 @query(_anonymize_sql())
 def anonymize(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.table(spark, sf, "documents").select("doc_id", "text")
+    docs = d.documents(spark, sf).select("doc_id", "text")
     return privacy.anonymize(docs, "text", ["doc_id"], salt="pepper")
 
 

@@ -55,23 +55,16 @@ def annotate_terms(
 ) -> DataFrame:
     """Dictionary hits and coverage per segment that has words.
 
-    Result: (key, n_words, n_hits, n_terms, coverage).  Words are counted per
-    segment before the join, so a repeated word is joined once per segment.
+    Result: (key, n_words, n_hits, coverage).  A segment's words come from one row,
+    so partial aggregation sends about one row per segment.
     """
     key = list(key)
-    tokens = segments.select(*key, words(F.col("text")).alias("_w")).select(
-        *key, F.explode("_w").alias("term")
-    )
-    counted = tokens.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("_n"))
+    tokens = segments.select(*key, F.explode(words(F.col("text"))).alias("term"))
     known = glossary.select("term", F.lit(1).alias("_known")).distinct()
     return (
-        counted.join(known, "term", "left")
+        tokens.join(known, "term", "left")
         .groupBy(*key)
-        .agg(
-            F.sum("_n").alias("n_words"),
-            F.sum(F.when(F.col("_known") == 1, F.col("_n")).otherwise(0)).alias("n_hits"),
-            F.count("_known").alias("n_terms"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_words"), F.count("_known").alias("n_hits"))
         .withColumn("coverage", F.round(F.col("n_hits") / F.col("n_words"), 6))
     )
 

@@ -16,6 +16,16 @@ HOT_ROWS = 1_000_000
 HOT_SHARE = 2_000
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Split a scan that has fewer partitions than the session has cores.
+
+    One small file gives one task; costly text expressions then use one core.  A
+    scan that already fills the cluster is left as it is, so nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``limit`` rows and more than 1/2000 of all rows.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from glossweave.plans.scale import spread
+
 PAGE_COLUMNS = ["page_id", "url", "html"]
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -80,7 +82,7 @@ EVENT_SCHEMA = T.StructType(
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Page corpus (page_id, url, html); unused columns are pruned from the scan."""
-    return spark.read.parquet(f"{folder}/pages.parquet").select(*PAGE_COLUMNS)
+    return spread(spark.read.parquet(f"{folder}/pages.parquet").select(*PAGE_COLUMNS))
 
 
 def read_manifests(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
