@@ -92,7 +92,7 @@ def recent_history(spark: SparkSession, sf: str) -> DataFrame:
 SESSIONS_SQL = """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL {gap} AS session_end,
     count(*) AS n_events
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
-        FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+        FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
                                + INTERVAL {gap} THEN 0 ELSE 1 END AS fresh FROM events))
   GROUP BY user_id, s"""
 

@@ -39,9 +39,9 @@ def recent_history(events: DataFrame, k: int) -> DataFrame:
 
 
 def sessionize(events: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFrame:
-    """Sessions (key, session_start, session_end, n_events); a pause >= gap starts a new one.
+    """Sessions (key, session_start, session_end, n_events); a pause longer than the gap starts a new one.
 
-    ``session_end`` is the last event plus the gap.  Events of one key within one
+    ``session_end`` is the last event plus the gap, as in ``session_window``.  Events of one key within one
     gap-wide slot always share a session, so slots are aggregated first and only
     slots, at most span / gap of them per key, are put in order.
     """
@@ -52,7 +52,7 @@ def sessionize(events: DataFrame, gap_seconds: int, key: str = "user_id") -> Dat
     )
     w = Window.partitionBy(key).orderBy("_slot")
     pause = F.make_dt_interval(secs=F.lit(gap_seconds))
-    fresh = F.coalesce((F.col("_first") >= F.lag("_last").over(w) + pause).cast("int"), F.lit(1))
+    fresh = F.coalesce((F.col("_first") > F.lag("_last").over(w) + pause).cast("int"), F.lit(1))
     return (
         slots.withColumn("_new", fresh)
         .withColumn("_s", F.sum("_new").over(w))

@@ -110,7 +110,7 @@ def read_catalogs(
     The language is the first group of ``lang_pattern`` in the file path.  With
     ``whole_file`` off, each line is an object of its own.
     """
-    raw = spark.read.option("wholetext", whole_file).text(path)
+    raw = spark.read.text(path, wholetext=whole_file)
     parsed = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), lang_pattern, 1).alias("lang"),
         F.from_json("value", _STRING_MAP).alias("_m"),

@@ -74,9 +74,9 @@ def stream_route(
 
 
 def stream_expire(stream: DataFrame, ttl: str, delay: str = "1 hour", key: str = "user_id") -> DataFrame:
-    """An expiry (key, last_use, expired_at, n_uses) when a key was idle for ``ttl``; append mode.
+    """An expiry (key, last_use, expired_at, n_uses) when a key stayed idle for ``ttl``; append mode.
 
-    A key's uses with pauses below the ttl form one session whose end is the last
+    A key's uses with pauses up to the ttl form one session whose end is the last
     use plus the ttl, and the session is emitted once the watermark passes that
     end.  Unlike a timer set per batch this does not depend on how rows are split
     into batches, and uses are merged before the shuffle.
