@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glossweave.functions.boxes import area, iou, overlap_area
 from glossweave.plans.scale import HOT_ROWS, grid_join, running_sum
-from glossweave.session import cut_lineage
+from glossweave.session import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 128
@@ -90,15 +90,15 @@ def suppress_overlaps(
 
 def _greedy(leaders: DataFrame, min_iou: float, cell: int, max_rounds: int) -> DataFrame:
     node = F.struct("page", *BOX)
-    nodes = cut_lineage(leaders.withColumn("node", node))
-    edges = cut_lineage(
+    nodes = stored(leaders.withColumn("node", node))
+    edges = stored(
         _stronger(leaders, min_iou, cell).select(
             F.struct("page", *[F.col(f"a_{c}").alias(c) for c in BOX]).alias("weak"),
             F.struct("page", *[F.col(f"b_{c}").alias(c) for c in BOX]).alias("strong"),
         )
     )
     kept = nodes.join(edges.select(F.col("weak").alias("node")), "node", "left_anti").select("node")
-    kept = cut_lineage(kept)
+    kept = stored(kept)
     all_kept = [kept]
     for _ in range(max_rounds):
         dropped = edges.join(kept.select(F.col("node").alias("strong")), "strong", "left_semi").select(
@@ -107,11 +107,11 @@ def _greedy(leaders: DataFrame, min_iou: float, cell: int, max_rounds: int) -> D
         # Edges out of a dropped box no longer matter, nor do edges into one.
         rest = edges.join(dropped.select(F.col("node").alias("weak")), "weak", "left_anti")
         open_nodes = rest.select("weak").distinct()
-        rest = cut_lineage(
+        rest = stored(
             rest.join(dropped.select(F.col("node").alias("strong")), "strong", "left_anti")
         )
         # Undecided boxes without a stronger undecided neighbour are kept next.
-        kept = cut_lineage(
+        kept = stored(
             open_nodes.join(rest.select("weak").distinct(), "weak", "left_anti").select(
                 F.col("weak").alias("node")
             )
@@ -135,9 +135,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates "large star" and "small star" rewiring (Kiveris et al., SoCC 2014),
     which needs a logarithmic number of rounds even for long chains; each round is
-    a minimum per node and a join, and is checkpointed.
+    a minimum per node and a join, and is written to the shared folder.
     """
-    pairs = cut_lineage(
+    pairs = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter("u != v")
         .distinct()
@@ -151,7 +151,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.filter("u != v").distinct())
+        pairs = stored(small.filter("u != v").distinct())
         state = pairs.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
@@ -170,7 +170,7 @@ def merge_regions(regions: DataFrame, cell: int = CELL, max_rounds: int = 60) ->
 
     Result: (page, block_id = lowest region id, n_regions, x0, y0, x1, y1).
     """
-    distinct = cut_lineage(
+    distinct = stored(
         regions.groupBy("page", *BOX).agg(
             F.min("id").alias("id"), F.count(F.lit(1)).alias("n")
         )

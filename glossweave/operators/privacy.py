@@ -90,8 +90,16 @@ def apply_consent(
     )
     chunk = F.floor(epoch_micros(line, "ts") / (chunk_seconds * 1_000_000))
     marked = mark_chunks(line, ["user_id"], [("_chunk", chunk)], limit)
+    parts = ["user_id"] if marked is None else ["user_id", "_chunk"]
     # Of several consent rows at one instant the revocation, sorting last, decides.
-    ordered = Window.partitionBy("user_id", "_chunk").orderBy("ts", "_src", F.col("_state").asc_nulls_last())
+    ordered = Window.partitionBy(*parts).orderBy("ts", "_src", F.col("_state").asc_nulls_last())
+    own = F.last("_state", ignorenulls=True).over(ordered)
+    if marked is None:
+        return (
+            line.withColumn("_own", own)
+            .filter((F.col("_src") == 1) & (F.col("_own") == "granted"))
+            .select("_e.*")
+        )
     lasts = (
         marked.filter("_hot")
         .groupBy("user_id", "_chunk")
@@ -102,7 +110,7 @@ def apply_consent(
         "user_id", "_chunk", F.last(F.col("_m._state"), ignorenulls=True).over(earlier).alias("_before")
     )
     return (
-        marked.withColumn("_own", F.last("_state", ignorenulls=True).over(ordered))
+        marked.withColumn("_own", own)
         .filter(F.col("_src") == 1)
         .join(carried, ["user_id", "_chunk"], "left")
         .filter(F.coalesce("_own", "_before") == "granted")

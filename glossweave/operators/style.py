@@ -8,6 +8,8 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glossweave.session import stored
+
 # Similarities are ranked after rounding, so that copies of a vector tie exactly.
 DIGITS = 6
 SLACK = 1e-5
@@ -50,7 +52,7 @@ def nearest_style(
     k: int,
     id_col: str = "vec_id",
     vector: str = "embedding",
-    n_pivots: int = 32,
+    n_pivots: int | None = None,
     block: int = 4096,
     exclude_self: bool = True,
 ) -> DataFrame:
@@ -63,18 +65,20 @@ def nearest_style(
     likewise, and each pair of blocks returns its k best per query.
     """
     lib = _units(library, id_col, vector)
+    if n_pivots is None:
+        n_pivots = min(256, max(1, library.count() // block))
     pivots = _pivots(lib, n_pivots)
     if len(pivots) == 0:
         raise ValueError("the library is empty")
-    lib = _to_pivots(lib, pivots)
+    own = F.element_at("_d", F.col("_cell") + 1).alias("_own")
+    lib = stored(_to_pivots(lib, pivots).select("_id", "_u", "_cell", own), "library")
     need = k + 1 if exclude_self else k
 
     # Per cell: size, radius and the `need` smallest distances; at most n_pivots rows.
-    own = F.element_at("_d", F.col("_cell") + 1)
     counts = lib.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max(own).alias("radius")
+        F.count(F.lit(1)).alias("n"), F.max("_own").alias("radius")
     ).collect()
-    near = _smallest(lib.select("_cell", own.alias("_own")), need).collect()
+    near = _smallest(lib.select("_cell", "_own"), need).collect()
     radius = {r["_cell"]: (r["n"], r["radius"]) for r in counts}
     inner = {c: [] for c in radius}
     for r in near:

@@ -17,8 +17,9 @@ def scan_honorifics(
 ) -> DataFrame:
     """Each name-honorific mention of a text as (key, mention_no, name, honorific)."""
     pattern = r"\p{L}+-(?:" + "|".join(honorifics) + r")\b"
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    return segments.select(*key, F.posexplode(found).alias("mention_no", "_m")).select(
+    found = F.posexplode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    mentions = segments.select(*key, found.alias("mention_no", "_m")).filter(F.col("_m").isNotNull())
+    return mentions.select(
         *key,
         "mention_no",
         F.substring_index("_m", "-", 1).alias("name"),
@@ -59,7 +60,9 @@ def annotate_terms(
     so partial aggregation sends about one row per segment.
     """
     key = list(key)
-    tokens = segments.select(*key, F.explode(words(F.col("text"))).alias("term"))
+    tokens = segments.select(*key, F.explode_outer(words(F.col("text"))).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
     known = glossary.select("term", F.lit(1).alias("_known")).distinct()
     return (
         tokens.join(known, "term", "left")

@@ -3,7 +3,8 @@
 A window partitioned by a key puts each key into one task.  The helpers here
 split only the keys that hold more than ``limit`` rows into ordered chunks, run
 the window inside the chunks and add what the earlier chunks carry over.  All
-rows stay in the result, and keys below the limit pay no second shuffle.
+rows stay in the result.  Whether any key is that large is counted first, in one
+pass over the key columns; without one the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -26,26 +27,37 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows and more than 1/2000 of all rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``limit`` rows and more than 1/2000 of all rows, or None.
 
-    By the second test at most 2000 keys qualify, so the result may be broadcast;
-    a key that fails it is no larger than a normal shuffle partition.
+    Runs one count per key.  At most 2000 keys can pass the second test, so the
+    2000 largest hold them all and the result may be broadcast; a key that fails
+    it is no larger than a normal shuffle partition.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
+    top = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > limit) & (F.col("_n") * HOT_SHARE > total))
-        .select(*keys, F.lit(True).alias("_hot"))
+        .filter(F.col("_n") > limit)
+        .orderBy(F.col("_n").desc())
+        .limit(HOT_SHARE)
+        .collect()
     )
+    total = df.count() if top else 0
+    rows = [tuple(r[k] for k in keys) for r in top if r["_n"] * HOT_SHARE > total]
+    if not rows:
+        return None
+    schema = df.select(*keys).schema
+    return df.sparkSession.createDataFrame(rows, schema).withColumn("_hot", F.lit(True))
 
 
 def mark_chunks(
     df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]], limit: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``_hot`` and the chunk columns ``levels``, which are 0 for keys that are not hot."""
-    marked = df.join(F.broadcast(hot_keys(df, keys, limit)), list(keys), "left").withColumn(
+) -> DataFrame | None:
+    """Add ``_hot`` and the chunk columns ``levels`` (0 for other keys); None if no key is hot."""
+    hot = hot_keys(df, keys, limit)
+    if hot is None:
+        return None
+    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_hot", F.coalesce("_hot", F.lit(False))
     )
     for name, expr in levels:
@@ -71,7 +83,13 @@ def running_sum(
     """
     keys = list(keys)
     names = [n for n, _ in levels]
-    marked = mark_chunks(df, keys, levels, limit).withColumn("_v", value)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    marked = mark_chunks(df, keys, levels, limit)
+    if marked is None:
+        return df.withColumn(
+            name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))
+        )
+    marked = marked.withColumn("_v", value)
     totals = marked.filter("_hot").groupBy(*keys, *names).agg(F.sum("_v").alias("_t"))
     offsets = None
     for depth in range(1, len(names) + 1):
@@ -93,11 +111,7 @@ def running_sum(
                 .withColumn("_off", F.col("_off") + F.col("_s"))
                 .drop("_s")
             )
-    inside = (
-        Window.partitionBy(*keys, *names)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*upto)
     return (
         marked.withColumn("_in", F.sum("_v").over(inside))
         .join(offsets, [*keys, *names], "left")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "glossweave", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -53,7 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df):
-    """Materialise an iteration step so that lost executors do not replay the loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage, so lost executors do not replay what came before, and lets
+    later steps read single columns of an intermediate that is used several times.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -143,7 +143,7 @@ def test_placement_prefers_uncovered_then_lower_candidate(spark):
     assert best == {1: (1, 0), 2: (0, 18)}
 
 
-@pytest.mark.parametrize("block,pivots,self_out", [(16, 4, True), (4096, 8, True), (16, 200, False)])
+@pytest.mark.parametrize("block,pivots,self_out", [(16, 4, True), (4096, 8, True), (16, 200, False), (64, None, True)])
 def test_nearest_style_is_exact(spark, block, pivots, self_out):
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(6, 8)) * 4

@@ -38,7 +38,7 @@ def test_running_sum_matches_plain_window(spark, limit):
 
 def test_hot_keys_are_few(spark):
     df = spark.createDataFrame([(i % 5000, i) for i in range(20_000)], "k int, id int")
-    assert hot_keys(df, ["k"], 3).count() == 0
+    assert hot_keys(df, ["k"], 3) is None
     assert hot_keys(df.withColumn("k", F.lit(1)), ["k"], 3).count() == 1
 
 
