@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from glossweave.session import stored
 
@@ -15,17 +15,16 @@ DIGITS = 6
 SLACK = 1e-5
 
 
-def _unit(col: Column) -> Column:
-    """Unit vector of doubles; null for a zero vector, which has no direction."""
-    norm = F.sqrt(
-        F.aggregate(col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    )
-    return F.transform(F.when(norm > 0, col), lambda x: x.cast("double") / norm)
-
-
 def _units(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    units = df.select(F.col(id_col).alias("_id"), _unit(F.col(vector)).alias("_u"))
-    return units.filter(F.col("_u").isNotNull())
+    """Unit vectors of doubles as (_id, _u); a zero vector has no direction and is left out."""
+    doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))
+    return (
+        df.select(F.col(id_col).alias("_id"), doubles.alias("_x"))
+        .withColumn("_n", norm)
+        .filter(F.col("_n") > 0)
+        .select("_id", F.transform("_x", lambda x: x / F.col("_n")).alias("_u"))
+    )
 
 
 def _pivots(library: DataFrame, n: int) -> np.ndarray:
