@@ -80,8 +80,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "blocks_v2": (
         ("blocks",),
         """SELECT page_id, pos, CASE WHEN pos % 11 = 0 THEN text || '!' ELSE text END AS text
-           FROM blocks WHERE page_id % 7 <> 0
-           UNION ALL SELECT page_id, 100000, 'new' FROM pages WHERE page_id % 5 = 0""",
+           FROM blocks JOIN pages USING (page_id) WHERE url NOT LIKE '%://blog.%'
+           UNION ALL SELECT page_id, 100000, 'new' FROM pages WHERE url LIKE '%?%'""",
     ),
     "segments": (
         (),
@@ -172,9 +172,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "subjects": ((), "SELECT * FROM events WHERE event_type NOT IN ('signup', 'error')"),
     "checksums": (
         (),
-        """SELECT url AS path, CASE WHEN page_id % 10 = 0 THEN sha256(html || 'x')
+        """SELECT url AS path, CASE WHEN url LIKE '%?%' THEN sha256(html || 'x')
              ELSE sha256(html) END AS sha256
-           FROM pages WHERE page_id % 13 <> 0 UNION ALL SELECT 'unknown', sha256('unknown')""",
+           FROM pages WHERE url NOT LIKE '%://m.%' UNION ALL SELECT 'unknown', sha256('unknown')""",
     ),
     "event_memory": (
         (),
@@ -207,12 +207,12 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks_v2(spark: SparkSession, sf: str) -> DataFrame:
-    kept = (
-        blocks(spark, sf)
-        .filter("page_id % 7 != 0")
-        .withColumn("text", F.expr("CASE WHEN pos % 11 = 0 THEN text || '!' ELSE text END"))
+    """A later snapshot: blog pages are gone, some texts changed, pages with a query string grew."""
+    pages = read_pages(spark, sf)
+    kept = extract_blocks(pages.filter("url NOT LIKE '%://blog.%'")).withColumn(
+        "text", F.expr("CASE WHEN pos % 11 = 0 THEN text || '!' ELSE text END")
     )
-    added = read_pages(spark, sf).filter("page_id % 5 = 0").select(
+    added = pages.filter("url LIKE '%?%'").select(
         "page_id", F.lit(100000).alias("pos"), F.lit("new").alias("text")
     )
     return kept.unionByName(added)
@@ -402,10 +402,11 @@ def subjects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed checksums: mobile pages are not listed, those with a query string changed since."""
     pages = read_pages(spark, sf)
-    listed = pages.filter("page_id % 13 != 0").select(
+    listed = pages.filter("url NOT LIKE '%://m.%'").select(
         F.col("url").alias("path"),
-        F.expr("CASE WHEN page_id % 10 = 0 THEN sha2(html || 'x', 256) ELSE sha2(html, 256) END").alias(
+        F.expr("CASE WHEN url LIKE '%?%' THEN sha2(html || 'x', 256) ELSE sha2(html, 256) END").alias(
             "sha256"
         ),
     )
