@@ -45,7 +45,28 @@ def suppress_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return layout.suppress_overlaps(d.regions(spark, sf), 0.2).select("id", "page", "score")
 
 
-@query()
+_KEPT_IOU = _IOU.replace("a.", "k.").replace("b.", "r.")
+_KEPT_OVERLAP = _OVERLAP.replace("a.", "k.").replace("b.", "r.")
+
+
+@query(
+    d.with_views(
+        f"""WITH ranked AS MATERIALIZED (
+              SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS rn FROM regions),
+            step(page, rn, kept) AS (
+              SELECT page, rn, [{{'id': id, 'score': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}]
+              FROM ranked WHERE rn = 1
+              UNION ALL
+              SELECT r.page, r.rn, CASE WHEN len(list_filter(s.kept,
+                  lambda k: {_KEPT_OVERLAP} AND {_KEPT_IOU} >= 0.2)) > 0 THEN s.kept
+                ELSE list_append(s.kept, {{'id': r.id, 'score': r.score, 'x0': r.x0, 'y0': r.y0,
+                                           'x1': r.x1, 'y1': r.y1}}) END
+              FROM step s JOIN ranked r ON r.page = s.page AND r.rn = s.rn + 1)
+            SELECT k.id AS id, page, k.score AS score
+            FROM (SELECT page, unnest(arg_max(kept, rn)) AS k FROM step GROUP BY page)""",
+        "regions",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def suppress_overlaps_greedy(spark: SparkSession, sf: str) -> DataFrame:
     kept = layout.suppress_overlaps(d.regions(spark, sf), 0.2, mode="greedy")
     return kept.select("id", "page", "score")

@@ -11,17 +11,27 @@ from glossweave.operators.state import EVENT_ROUTES, REJECT, current_state, rout
 
 
 def stream_metrics(
-    stream: DataFrame, width: str, slide: str | None = None, delay: str = "1 hour"
+    stream: DataFrame,
+    width: str,
+    slide: str | None = None,
+    delay: str = "1 hour",
+    quantiles: bool = True,
+    accuracy: int = 10_000,
 ) -> DataFrame:
-    """Count, cents, mean and max per event type and window; append mode.
+    """Count, mean, max and approximate p50 and p95 per event type and window; append mode.
 
-    Rows that arrive more than ``delay`` behind the newest event are dropped.
+    Rows that arrive more than ``delay`` behind the newest event are dropped.  The
+    quantile sketches are part of the window state; without them it is smaller.
     """
     cents = F.round(F.col("value") * 100).cast("long")
+    aggs = [F.count("value").alias("n"), F.sum(cents).alias("cents"), F.max("value").alias("max")]
+    names = ["p50", "p95"] if quantiles else []
+    for name, p in zip(names, (0.5, 0.95)):
+        aggs.append(F.percentile_approx("value", p, accuracy).alias(name))
     return (
         stream.withWatermark("ts", delay)
         .groupBy("event_type", F.window("ts", width, slide or width))
-        .agg(F.count("value").alias("n"), F.sum(cents).alias("cents"), F.max("value").alias("max"))
+        .agg(*aggs)
         .select(
             "event_type",
             F.col("window.start").alias("window_start"),
@@ -29,6 +39,7 @@ def stream_metrics(
             "n",
             F.round(F.col("cents") / 100 / F.col("n"), 6).alias("mean"),
             "max",
+            *names,
         )
     )
 
