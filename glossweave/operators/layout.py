@@ -8,10 +8,10 @@ more pairs than its distinct boxes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.boxes import area, iou, overlap_area
-from glossweave.plans.scale import HOT_ROWS, grid_join, running_sum
+from glossweave.plans.scale import HOT_ROWS, grid_exists, grid_join, running_sum
 from glossweave.session import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -46,11 +46,9 @@ def _leaders(regions: DataFrame) -> DataFrame:
     return regions.groupBy("page", *BOX).agg(F.max(F.struct("score", -F.col("id"))).alias("rank"))
 
 
-def _stronger(leaders: DataFrame, min_iou: float, cell: int) -> DataFrame:
-    """Pairs of distinct boxes where b outranks a and their IoU reaches the threshold."""
-    return grid_join(leaders, leaders, cell).filter(
-        (F.col("b_rank") > F.col("a_rank")) & (iou() >= min_iou)
-    )
+def _beats(min_iou: float) -> Column:
+    """b outranks a and their IoU reaches the threshold."""
+    return (F.col("b_rank") > F.col("a_rank")) & (iou() >= min_iou)
 
 
 def suppress_overlaps(
@@ -69,11 +67,7 @@ def suppress_overlaps(
     leaders = _leaders(regions)
     member = F.struct("score", -F.col("id"))
     if mode == "local":
-        beaten = (
-            _stronger(leaders, min_iou, cell)
-            .groupBy("page", *[F.col(f"a_{c}").alias(c) for c in BOX])
-            .agg(F.lit(True).alias("_beaten"))
-        )
+        beaten = grid_exists(leaders, leaders, cell, _beats(min_iou))
         kept = leaders.join(beaten, ["page", *BOX], "left_anti")
     elif mode == "greedy":
         kept = _greedy(leaders, min_iou, cell, max_rounds)
@@ -92,7 +86,7 @@ def _greedy(leaders: DataFrame, min_iou: float, cell: int, max_rounds: int) -> D
     node = F.struct("page", *BOX)
     nodes = stored(leaders.withColumn("node", node))
     edges = stored(
-        _stronger(leaders, min_iou, cell).select(
+        grid_join(leaders, leaders, cell).filter(_beats(min_iou)).select(
             F.struct("page", *[F.col(f"a_{c}").alias(c) for c in BOX]).alias("weak"),
             F.struct("page", *[F.col(f"b_{c}").alias(c) for c in BOX]).alias("strong"),
         )
@@ -147,7 +141,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))

@@ -18,13 +18,13 @@ HOT_SHARE = 2_000
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Split a scan that has fewer partitions than the session has cores.
+    """Split a scan that would leave more than half of the session's cores idle.
 
     One small file gives one task; costly text expressions then use one core.  A
-    scan that already fills the cluster is left as it is, so nothing is shuffled.
+    larger scan is left as it is, so nothing is shuffled.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() * 2 >= cores else scan.repartition(cores)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
@@ -195,6 +195,21 @@ def grid_cells(df: DataFrame, cell: int) -> DataFrame:
     )
 
 
+def _gridded(df: DataFrame, on: Sequence[str], prefix: str, cell: int) -> DataFrame:
+    return grid_cells(df, cell).select(
+        *on, "_cx", "_cy", *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in on]
+    )
+
+
+def _overlapping() -> Column:
+    return (
+        (F.col("a_x0") < F.col("b_x1"))
+        & (F.col("b_x0") < F.col("a_x1"))
+        & (F.col("a_y0") < F.col("b_y1"))
+        & (F.col("b_y0") < F.col("a_y1"))
+    )
+
+
 def grid_join(
     left: DataFrame, right: DataFrame, cell: int, on: Sequence[str] = ("page",)
 ) -> DataFrame:
@@ -203,21 +218,34 @@ def grid_join(
     Only boxes that share a cell meet.  A pair that shares several cells is
     reported in the cell of the overlap's lower corner, so no distinct follows.
     """
-    on = list(on)
-
-    def prefixed(df: DataFrame, p: str) -> DataFrame:
-        cells = grid_cells(df, cell)
-        return cells.select(
-            *on, "_cx", "_cy", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in on]
-        )
-
-    pairs = prefixed(left, "a_").join(prefixed(right, "b_"), [*on, "_cx", "_cy"])
-    ix, iy = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    pairs = _gridded(left, on, "a_", cell).join(
+        _gridded(right, on, "b_", cell), [*on, "_cx", "_cy"]
+    )
+    corner_x, corner_y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     return pairs.filter(
-        (F.col("a_x0") < F.col("b_x1"))
-        & (F.col("b_x0") < F.col("a_x1"))
-        & (F.col("a_y0") < F.col("b_y1"))
-        & (F.col("b_y0") < F.col("a_y1"))
-        & (F.floor(ix / cell) == F.col("_cx"))
-        & (F.floor(iy / cell) == F.col("_cy"))
+        _overlapping()
+        & (F.floor(corner_x / cell) == F.col("_cx"))
+        & (F.floor(corner_y / cell) == F.col("_cy"))
     ).drop("_cx", "_cy")
+
+
+def grid_exists(
+    left: DataFrame, right: DataFrame, cell: int, condition: Column, on: Sequence[str] = ("page",)
+) -> DataFrame:
+    """Distinct rows of ``left`` that overlap some right box for which ``condition`` holds.
+
+    ``condition`` uses the prefixed columns.  A semi join stops at the first hit, so
+    no pairs are produced.
+    """
+    a = _gridded(left, on, "a_", cell)
+    b = _gridded(right, on, "b_", cell)
+    keys = [*on, "_cx", "_cy"]
+    b = b.select(*[F.col(k).alias(f"_b{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    match = _overlapping() & condition
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_b{k}"))
+    return (
+        a.join(b, match, "left_semi")
+        .select(*[F.col(c) if c in on else F.col(f"a_{c}").alias(c) for c in left.columns])
+        .distinct()
+    )

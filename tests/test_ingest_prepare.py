@@ -24,7 +24,7 @@ def test_detect_pages(spark):
     got = ingest.detect_pages(
         pages(spark, [(1, "http://blog.x.y/en/3?page=2", "<img>"), (2, "http://x.y/", "plain"), (3, None, None)])
     ).collect()
-    assert [(r.page_id, r.rules, r.score) for r in got] == [(1, "reader_path,page_param,image,blog_host", 10)]
+    assert [(r.page_id, r.rules, r.score) for r in got] == [(1, "reader_path,page_param,blog_host,image", 10)]
 
 
 def test_route_adapter_longest_suffix_wins(spark):

@@ -19,12 +19,6 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
-def test_no_product_joins(spark, name):
-    text = plan(queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 @pytest.mark.parametrize(
     "name", ["extract_blocks", "tm_lookup", "anonymize", "restore_sentences", "script_profile", "apply_consent"]
 )
