@@ -8,14 +8,17 @@ more pairs than its distinct boxes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.boxes import area, iou, overlap_area
-from glossweave.plans.scale import HOT_ROWS, grid_exists, grid_join, running_sum
+from glossweave.plans.scale import HOT_ROWS, grid_cells, grid_exists, grid_join, running_sum
 from glossweave.session import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 128
+DENSE = 2_000
 
 
 def overlap_pairs(regions: DataFrame, min_iou: float = 0.0, cell: int = CELL) -> DataFrame:
@@ -83,45 +86,20 @@ def suppress_overlaps(
 
 
 def _greedy(leaders: DataFrame, min_iou: float, cell: int, max_rounds: int) -> DataFrame:
-    node = F.struct("page", *BOX)
-    nodes = stored(leaders.withColumn("node", node))
-    edges = stored(
-        grid_join(leaders, leaders, cell).filter(_beats(min_iou)).select(
-            F.struct("page", *[F.col(f"a_{c}").alias(c) for c in BOX]).alias("weak"),
-            F.struct("page", *[F.col(f"b_{c}").alias(c) for c in BOX]).alias("strong"),
-        )
-    )
-    kept = nodes.join(edges.select(F.col("weak").alias("node")), "node", "left_anti").select("node")
-    kept = stored(kept)
-    all_kept = [kept]
+    """Rounds over the undecided boxes: keep those without a stronger undecided
+    neighbour, drop their neighbours.  Only boxes are stored, never pairs."""
+    key = ["page", *BOX]
+    undecided = stored(leaders, "undecided")
+    kept: list[DataFrame] = []
     for _ in range(max_rounds):
-        dropped = edges.join(kept.select(F.col("node").alias("strong")), "strong", "left_semi").select(
-            F.col("weak").alias("node")
-        ).distinct()
-        # Edges out of a dropped box no longer matter, nor do edges into one.
-        rest = edges.join(dropped.select(F.col("node").alias("weak")), "weak", "left_anti")
-        open_nodes = rest.select("weak").distinct()
-        rest = stored(
-            rest.join(dropped.select(F.col("node").alias("strong")), "strong", "left_anti")
-        )
-        # Undecided boxes without a stronger undecided neighbour are kept next.
-        kept = stored(
-            open_nodes.join(rest.select("weak").distinct(), "weak", "left_anti").select(
-                F.col("weak").alias("node")
-            )
-        )
-        if kept.isEmpty():
-            if not rest.isEmpty():
-                raise RuntimeError("suppression did not converge")
-            break
-        all_kept.append(kept)
-        edges = rest
-    else:
-        raise RuntimeError(f"suppression did not converge in {max_rounds} rounds")
-    union = all_kept[0]
-    for k in all_kept[1:]:
-        union = union.unionByName(k)
-    return nodes.join(union, "node", "left_semi").drop("node")
+        blocked = stored(grid_exists(undecided, undecided, cell, _beats(min_iou)), "blocked")
+        winners = stored(undecided.join(blocked, key, "left_anti"), "kept")
+        kept.append(winners)
+        if blocked.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        losers = grid_exists(blocked, winners, cell, iou() >= min_iou)
+        undecided = stored(blocked.join(losers, key, "left_anti"), "undecided")
+    raise RuntimeError(f"suppression did not converge in {max_rounds} rounds")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -159,29 +137,66 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return leaves.unionByName(roots)
 
 
-def merge_regions(regions: DataFrame, cell: int = CELL, max_rounds: int = 60) -> DataFrame:
+def merge_regions(
+    regions: DataFrame, cell: int = CELL, max_rounds: int = 60, dense: int = DENSE
+) -> DataFrame:
     """Union overlapping boxes into text blocks.
 
-    Result: (page, block_id = lowest region id, n_regions, x0, y0, x1, y1).
+    Result: (page, block_id = lowest region id, n_regions, x0, y0, x1, y1).  If some
+    cell holds more than ``dense`` distinct boxes, boxes around a common lattice
+    point, which all overlap, are united through that point first; pairs are then
+    formed only between boxes that are still apart.
     """
     distinct = stored(
-        regions.groupBy("page", *BOX).agg(
-            F.min("id").alias("id"), F.count(F.lit(1)).alias("n")
+        regions.groupBy("page", *BOX).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
+        "boxes",
+    )
+    crowded = (
+        grid_cells(distinct, cell).groupBy("page", "_cx", "_cy").count().filter(F.col("count") > dense)
+    )
+    if crowded.isEmpty():
+        owned = distinct.withColumn("block_id", F.col("id"))
+    else:
+        owned = stored(_relabel(distinct, "id", _lattice_edges(distinct, cell // 4), max_rounds), "boxes")
+    parts = owned.select("page", "block_id", *BOX)
+    touching = grid_join(parts, parts, cell).filter("a_block_id < b_block_id")
+    edges = touching.select(F.col("a_block_id").alias("a"), F.col("b_block_id").alias("b"))
+    return (
+        _relabel(owned, "block_id", edges, max_rounds)
+        .groupBy("page", "block_id")
+        .agg(
+            F.sum("n").alias("n_regions"),
+            F.min("x0").alias("x0"),
+            F.min("y0").alias("y0"),
+            F.max("x1").alias("x1"),
+            F.max("y1").alias("y1"),
         )
     )
-    boxes = distinct.select("page", "id", *BOX)
-    touching = grid_join(boxes, boxes, cell).filter("a_id < b_id")
-    parts = connected_components(
-        touching.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), max_rounds
+
+
+def _relabel(boxes: DataFrame, label: str, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Replace ``block_id`` by the component of ``label``, or by the label if it has no edge."""
+    parts = connected_components(edges, max_rounds).withColumnRenamed("node", "_label")
+    return (
+        boxes.withColumn("_label", F.col(label))
+        .join(parts, "_label", "left")
+        .withColumn("block_id", F.coalesce("component", "_label"))
+        .drop("_label", "component")
     )
-    owned = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    return owned.groupBy("page", F.coalesce("component", "id").alias("block_id")).agg(
-        F.sum("n").alias("n_regions"),
-        F.min("x0").alias("x0"),
-        F.min("y0").alias("y0"),
-        F.max("x1").alias("x1"),
-        F.max("y1").alias("y1"),
+
+
+def _lattice_edges(boxes: DataFrame, step: int) -> DataFrame:
+    """Each box tied to the lowest id among the boxes strictly around a lattice point."""
+
+    def inside(low: str, high: str) -> Column:
+        first, last = F.floor(F.col(low) / step) + 1, F.ceil(F.col(high) / step) - 1
+        return F.when(first <= last, F.sequence(first, last))
+
+    points = boxes.select("page", "id", F.explode(inside("x0", "x1")).alias("px"), "y0", "y1").select(
+        "page", "id", "px", F.explode(inside("y0", "y1")).alias("py")
     )
+    lowest = points.groupBy("page", "px", "py").agg(F.min("id").alias("b"))
+    return points.join(lowest, ["page", "px", "py"]).select(F.col("id").alias("a"), "b")
 
 
 def assign_to_panels(regions: DataFrame, panels: DataFrame, cell: int = 4 * CELL) -> DataFrame:

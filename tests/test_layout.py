@@ -87,11 +87,13 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == union_find(edges, {n for e in edges for n in e})
 
 
-def test_merge_regions_agrees_with_union_find(spark):
+@pytest.mark.parametrize("dense", [2, 10_000])
+def test_merge_regions_agrees_with_union_find(spark, dense):
     rows = random_boxes(n=90, seed=6)
+    df = spark.createDataFrame(rows, SCHEMA)
     got = {
         (r.page, r.block_id): (r.n_regions, r.x0, r.y0, r.x1, r.y1)
-        for r in layout.merge_regions(spark.createDataFrame(rows, SCHEMA)).collect()
+        for r in layout.merge_regions(df, dense=dense).collect()
     }
     edges = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and shared(a, b) > 0]
     comp = union_find(edges, [r[0] for r in rows])
