@@ -225,7 +225,7 @@ def apply_consent(spark: SparkSession, sf: str) -> DataFrame:
 
 def _anonymize_sql() -> str:
     step, hits = "SELECT doc_id, text FROM documents", ""
-    for i, (name, pattern, repl) in enumerate(privacy.REDACTIONS):
+    for i, (name, _, pattern, repl) in enumerate(privacy.REDACTIONS):
         step = (
             f"SELECT doc_id{hits}, len(regexp_extract_all(text, {d.sql_text(pattern)})) AS n_{name}, "
             f"{d.sql_replace('text', pattern, repl)} AS text FROM ({step}) s{i}"

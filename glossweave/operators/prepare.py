@@ -53,8 +53,9 @@ def clean_artifacts(
 ) -> DataFrame:
     """Apply the ordered rules to ``col`` and add ``hit_<rule>``: did the rule find anything?"""
     for name, pattern, replacement in rules:
+        replaced = F.regexp_replace(col, pattern, replacement)
         df = df.withColumn(f"hit_{name}", F.col(col).rlike(pattern)).withColumn(
-            col, F.regexp_replace(col, pattern, replacement)
+            col, F.when(F.col(f"hit_{name}"), replaced).otherwise(F.col(col))
         )
     return df
 
@@ -161,9 +162,15 @@ def script_profile(df: DataFrame, col: str = "text") -> DataFrame:
 
     Kana decide for Japanese even where Han letters prevail, since Chinese text has none.
     """
-    out = df
+    # Scripts share no letters, so each is counted in what the earlier ones left over.
+    out = df.withColumn("_rest", F.col(col))
     for name, prop, _ in SCRIPTS:
-        out = out.withColumn(f"n_{name}", F.regexp_count(F.col(col), F.lit(rf"\p{{Is{prop}}}")))
+        out = (
+            out.withColumn("_less", F.regexp_replace("_rest", rf"\p{{Is{prop}}}+", ""))
+            .withColumn(f"n_{name}", F.length("_rest") - F.length("_less"))
+            .withColumn("_rest", F.col("_less"))
+        )
+    out = out.drop("_rest", "_less")
     top = F.greatest(*[F.col(f"n_{n}") for n, _, _ in SCRIPTS])
     dominant = F.when(top == 0, "none")
     bucket = F.when(top == 0, "none").when(

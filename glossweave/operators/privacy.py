@@ -13,16 +13,17 @@ from glossweave.plans.scale import HOT_ROWS, mark_chunks
 # event type -> days to keep; a type that is not listed has no limit.
 RETENTION_DAYS = {"view": 7, "click": 14, "error": 3, "purchase": 365}
 
-# (rule, pattern, replacement), applied in this order.
+# (rule, text that must occur, pattern, replacement), applied in this order.
 REDACTIONS = [
     (
         "token",
+        "",
         r'(?i)(?:token|secret|password|api_?key) ?[=:] ?"?[A-Za-z0-9_-]{16,}"?',
         "[TOKEN]",
     ),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
-    ("ip", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[IP]"),
-    ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
+    ("email", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    ("ip", ".", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[IP]"),
+    ("phone", "+", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
 ]
 
 ALLOWED_PERMISSIONS = ["activeTab", "storage", "offscreen", "scripting"]
@@ -123,15 +124,19 @@ def anonymize(
     text: str = "text",
     ids: Sequence[str] = (),
     salt: str = "",
-    rules: Sequence[tuple[str, str, str]] = REDACTIONS,
+    rules: Sequence[tuple[str, str, str, str]] = REDACTIONS,
 ) -> DataFrame:
     """Redact patterns in ``text``, replace ``ids`` by salted hashes, add ``n_<rule>`` hits.
 
-    The hits of a rule are counted in the text the earlier rules left.
+    The hits of a rule are counted in the text the earlier rules left.  A rule's
+    pattern is tried only where the text that must occur does.
     """
-    for name, pattern, replacement in rules:
-        df = df.withColumn(f"n_{name}", F.regexp_count(F.col(text), F.lit(pattern))).withColumn(
-            text, F.regexp_replace(text, pattern, replacement)
+    for name, needle, pattern, replacement in rules:
+        replaced = F.regexp_replace(text, pattern, replacement)
+        hits = F.regexp_count(F.col(text), F.lit(pattern))
+        may_hit = F.contains(F.col(text), F.lit(needle))
+        df = df.withColumn(f"n_{name}", F.when(may_hit, hits).otherwise(0)).withColumn(
+            text, F.when(F.col(f"n_{name}") > 0, replaced).otherwise(F.col(text))
         )
     for col in ids:
         df = df.withColumn(col, F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col(col).cast("string")), 256))
