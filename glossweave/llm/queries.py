@@ -4,15 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossweave.llm.common import table
+from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
+from glossweave.llm.mixing import mix
+from glossweave.llm.quality import quality_scores
 from glossweave.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _remainder(n: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def quality_fold() -> Column:
+    """Rows of ``labels`` the quality classifier may learn from."""
+    return _remainder(5) != 0
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget, one row per item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when sources are mixed to their targets."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    scored = quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=quality_fold()
+    )
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose SimHash fingerprints differ in two bits or fewer."""
     return simhash_groups(table(spark, sf_dir, "documents"))
@@ -33,4 +65,4 @@ ORACLES = {
         WINDOW g AS (PARTITION BY t)""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_simhash, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op4_mixing, op6_quality, op7_simhash, op10_exact_dedup)}
