@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from glossweave.llm import language, licenses, url_filter
 from glossweave.llm.common import table
 from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
@@ -14,6 +15,7 @@ from glossweave.llm.quality import quality_scores
 from glossweave.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def _remainder(n: int) -> Column:
@@ -26,6 +28,14 @@ def quality_fold() -> Column:
     return _remainder(5) != 0
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the texts outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_remainder(4) != 2))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its edit budget, one row per item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +46,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels outside the held-out fold."""
     scored = quality_scores(
@@ -50,14 +65,67 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document that names one."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id of each stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _url_sql() -> str:
+    def count(terms: tuple[str, ...]) -> str:
+        return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+
+    rules = ", ".join(f"({_text(h)}, {_text(p)}, {_text(v)})" for h, p, v in url_filter.RULES)
+    return f"""
+        WITH parsed AS (
+          SELECT page_id, translate(coalesce(url, ''), {_A_TO_Z}) AS u,
+            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_A_TO_Z}) AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        counted AS (
+          SELECT *, {count(url_filter.STRICT)} AS n_strict, {count(url_filter.SOFT)} AS n_soft FROM parsed),
+        rules(h, p, v) AS (VALUES {rules}),
+        best AS (
+          SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+          FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+        SELECT page_id, host, path, rule,
+          coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END)
+            AS verdict, n_strict::INT AS n_strict, n_soft::INT AS n_soft
+        FROM counted LEFT JOIN best USING (page_id)"""
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"({_text(s)}, {i})" for s, i in licenses.known_sentences().items())
+    rules = ", ".join(f"({_text(n)}, {_text(p)})" for n, p in licenses.sequences())
+    return f"""
+        WITH cut AS (
+          SELECT doc_id, list_filter(list_transform(
+            regexp_split_to_array(coalesce(text, ''), {_text(licenses.SPLIT)}),
+            x -> lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), x -> x <> '') AS parts
+          FROM documents),
+        parts AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS pos FROM cut),
+        known(s, id) AS (VALUES {known}),
+        written AS (
+          SELECT doc_id, ',' || string_agg(id::VARCHAR || ',', '' ORDER BY pos) AS w, min(pos) AS pos
+          FROM parts JOIN known USING (s) GROUP BY 1),
+        rules(license, pattern) AS (VALUES {rules})
+        SELECT doc_id, license, count(*)::INT AS n_rules, min(pos)::INT AS first_sentence
+        FROM written JOIN rules ON regexp_matches(w, pattern) GROUP BY 1, 2"""
+
 
 ORACLES = {
+    "op5_url_filter": _url_sql(),
+    "op8_licenses": _license_sql(),
     "op10_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
@@ -65,4 +133,4 @@ ORACLES = {
         WINDOW g AS (PARTITION BY t)""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op4_mixing, op6_quality, op7_simhash, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op10_exact_dedup)}
