@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossweave.llm import language, licenses, url_filter
+from glossweave.llm import html_text, language, licenses, url_filter
 from glossweave.llm.common import table
 from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
@@ -70,6 +70,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id of each stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -109,11 +114,13 @@ def _license_sql() -> str:
     rules = ", ".join(f"({_text(n)}, {_text(p)})" for n, p in licenses.sequences())
     return f"""
         WITH cut AS (
-          SELECT doc_id, list_filter(list_transform(
-            regexp_split_to_array(coalesce(text, ''), {_text(licenses.SPLIT)}),
-            x -> lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), x -> x <> '') AS parts
+          SELECT doc_id, regexp_split_to_array(coalesce(text, ''), {_text(licenses.SPLIT)}) AS parts
           FROM documents),
-        parts AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS pos FROM cut),
+        raw AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS at_part FROM cut),
+        parts AS (
+          SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY at_part) - 1 AS pos
+          FROM (SELECT doc_id, at_part, lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM raw)
+          WHERE s <> ''),
         known(s, id) AS (VALUES {known}),
         written AS (
           SELECT doc_id, ',' || string_agg(id::VARCHAR || ',', '' ORDER BY pos) AS w, min(pos) AS pos
@@ -133,4 +140,4 @@ ORACLES = {
         WINDOW g AS (PARTITION BY t)""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup)}
