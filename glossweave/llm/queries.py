@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossweave.llm import html_text, language, licenses, url_filter
+from glossweave.llm import html_text, language, licenses, personal_data, url_filter
 from glossweave.llm.common import table
 from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
@@ -41,6 +41,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and discovered ones."""
+    return personal_data.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken when sources are mixed to their targets."""
     return mix(table(spark, sf_dir, "documents"))
@@ -140,4 +145,4 @@ ORACLES = {
         WINDOW g AS (PARTITION BY t)""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op3_personal_data, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup)}
