@@ -79,7 +79,16 @@ def share_below(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``dropped``; a null key equals a null key."""
-    gone = dropped.select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = fresh(docs, "gone")
+    ids = dropped.select(F.col(key).alias(gone)).distinct()
+    return docs.join(ids, F.col(key).eqNullSafe(F.col(gone)), "left_anti")

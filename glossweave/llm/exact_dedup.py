@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from glossweave.llm.common import LOWER, UPPER, drop_rows, map_rows, text_of, type_of
+from glossweave.llm.common import LOWER, UPPER, drop_rows, fresh, map_rows, text_of, type_of
 from glossweave.session import stored
 
 #: Digests a task holds before it passes its combined rows on.
@@ -194,15 +194,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if result.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     # an id with several rows: decide each text of it on its own, and keep one row of each
+    own, key, sha = (fresh(docs, name) for name in ("digest", "key", "sha"))
     digest = F.sha2(F.translate(text_of(docs, text_col), UPPER, LOWER), 256)
-    stay = result.filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
-    ).distinct()
+    stay = result.filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct()
     return (
-        docs.withColumn("_digest", digest)
-        .join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-        .dropDuplicates([id_col, "_digest"])
-        .drop("_digest")
+        docs.withColumn(own, digest)
+        .join(stay, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
+        .dropDuplicates([id_col, own])
+        .drop(own)
     )
 
 

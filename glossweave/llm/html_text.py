@@ -61,6 +61,7 @@ NOISE = frozenset(
 )
 MAIN = frozenset("article articlebody body content entry main page post prose story text".split())
 _TOKEN = re.compile(r"[a-z]+")
+_CUT_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _MARKS = re.compile(r"[.!?,;:]")
 
 
@@ -80,7 +81,7 @@ class Page(HTMLParser):
         self._closable: list[str] = []  # of these, the blocks
         self._count: Counter = Counter()
         self._at, self._block, self._hidden, self._links = 0, 0, 0, 0
-        self.feed((html or "").replace("<![", "<! ["))
+        self.feed(_CUT_TAG.sub("", (html or "").replace("<![", "<! [")))
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glossweave.llm.common import type_of, union_all, word_count
+from glossweave.llm.common import fresh, type_of, union_all, word_count
 from glossweave.session import stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -199,9 +199,10 @@ def mix(
 
 def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each row as often as the plan of ``mix`` takes it; ids must be distinct."""
-    times = plan.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    key, n, copy = (fresh(docs, name) for name in ("key", "times", "copy"))
+    times = plan.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
     return (
-        docs.join(times, F.col(id_col) == F.col("_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .drop("_id", "_copies", "_copy")
+        docs.join(times, F.col(id_col) == F.col(key))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+        .drop(key, n, copy)
     )
