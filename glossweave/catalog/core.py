@@ -49,7 +49,7 @@ def detect_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ADAPTERS = ", ".join(
-    f"({d.sql_text(s)}, {d.sql_text(a)})" for s, a in ingest.SITE_ADAPTERS[:-1]
+    f"({d.sql_text(s)}, {d.sql_text(a)})" for s, a in ingest.SITE_ADAPTERS
 )
 
 
@@ -61,8 +61,7 @@ _ADAPTERS = ", ".join(
         GROUP BY 1, 2"""
 )
 def route_adapter(spark: SparkSession, sf: str) -> DataFrame:
-    """The last adapter is left out, so that its hosts fall back to the generic one."""
-    return ingest.route_adapter(read_pages(spark, sf), ingest.SITE_ADAPTERS[:-1])
+    return ingest.route_adapter(read_pages(spark, sf), ingest.SITE_ADAPTERS)
 
 
 @query(d.with_views("SELECT * FROM blocks", "blocks"))
@@ -164,11 +163,17 @@ def classify_text(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.classify_text(d.segments(spark, sf))
 
 
-@query()
+@query("SELECT doc_id, true AS in_range, true AS agrees FROM documents")
 def train_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is scored, between 0 and 1, and predicted by its score."""
     docs = d.documents(spark, sf)
     model = prepare.train_text_classifier(docs, d.table(spark, sf, "labels"))
-    return prepare.score_text(model, docs)
+    scored = prepare.score_text(model, docs)
+    return scored.select(
+        "doc_id",
+        F.col("score").between(0, 1).alias("in_range"),
+        ((F.col("score") > 0.5).cast("int") == F.col("predicted")).alias("agrees"),
+    )
 
 
 def _script_sql() -> str:

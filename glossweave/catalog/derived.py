@@ -52,7 +52,9 @@ def sql_fingerprint(expr: str) -> str:
 
 
 def sql_words(expr: str) -> str:
-    return f"regexp_extract_all(lower({expr}), {sql_text(tx.WORD_PATTERN)})"
+    unspaced = tx.UNSPACED_PATTERN.replace(r"\p{Is", r"\p{")
+    spaced = f"regexp_replace(lower({expr}), {sql_text(unspaced)}, ' \\0 ', 'g')"
+    return f"regexp_extract_all({spaced}, {sql_text(tx.WORD_PATTERN)})"
 
 
 def sql_micros(expr: str) -> str:
@@ -156,7 +158,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "catalogs": (
         (),
-        """SELECT lang, 'k' || (doc_id % 200) AS key, min(source) AS value
+        """SELECT lang, 'k' || (doc_id // 4) AS key, min(source) AS value
            FROM documents GROUP BY 1, 2""",
     ),
     "settings": (
@@ -370,7 +372,7 @@ def glossary(spark: SparkSession, sf: str) -> DataFrame:
 def catalogs(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "documents")
-        .groupBy("lang", F.concat(F.lit("k"), F.col("doc_id") % 200).alias("key"))
+        .groupBy("lang", F.concat(F.lit("k"), F.floor(F.col("doc_id") / 4)).alias("key"))
         .agg(F.min("source").alias("value"))
     )
 
@@ -428,3 +430,27 @@ def event_memory(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(1).alias("engine"),
         )
     )
+
+
+def with_close_ranks(
+    found: DataFrame, rows: DataFrame, keys: list[str], probs: dict[str, float], accuracy: int = 10_000
+) -> DataFrame:
+    """Replace quantile columns by whether their rank is off by at most n / accuracy, plus one."""
+    columns = list(probs)
+    ranks = (
+        rows.join(found.select(*keys, *columns), keys)
+        .groupBy(*keys)
+        .agg(
+            F.count("value").alias("_n"),
+            *[F.count_if(F.col("value") < F.col(c)).alias(f"_{c}_below") for c in columns],
+            *[F.count_if(F.col("value") <= F.col(c)).alias(f"_{c}_upto") for c in columns],
+        )
+    )
+    slack = F.col("_n") / accuracy + 1
+    close = [
+        (
+            (F.col(f"_{c}_below") <= F.col("_n") * p + slack) & (F.col(f"_{c}_upto") >= F.col("_n") * p - slack)
+        ).alias(f"{c}_close")
+        for c, p in probs.items()
+    ]
+    return found.drop(*columns).join(ranks, keys).select(*[c for c in found.columns if c not in columns], *close)

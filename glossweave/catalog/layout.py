@@ -149,20 +149,40 @@ def choose_placement(spark: SparkSession, sf: str) -> DataFrame:
     return layout.choose_placement(d.placements(spark, sf), d.protected(spark, sf))
 
 
-@query(
-    """SELECT query_id, rank, match_id, similarity FROM (
+_NEAREST_SQL = """SELECT query_id, rank, match_id, similarity FROM (
          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS rank
          FROM (SELECT q.vec_id AS query_id, l.vec_id AS match_id,
                  round(list_cosine_similarity(q.embedding::DOUBLE[], l.embedding::DOUBLE[]), 6) AS similarity
                FROM embeddings q JOIN embeddings l ON q.vec_id <> l.vec_id))
        WHERE rank <= 5"""
-)
+
+
+@query(_NEAREST_SQL)
 def nearest_style(spark: SparkSession, sf: str) -> DataFrame:
     vectors = d.table(spark, sf, "embeddings")
     return style.nearest_style(vectors, vectors, 5)
 
 
-@query()
+@query(_NEAREST_SQL)
+def nearest_style_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in small blocks, so that several cells and blocks of queries meet."""
+    vectors = d.table(spark, sf, "embeddings")
+    return style.nearest_style(vectors, vectors, 5, block=100)
+
+
+@query("SELECT 0 AS n_wrong, true AS recall_ok")
 def nearest_style_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """The projected matches against the exact five nearest within the radius: similarities
+    are right, and at least 0.8 of those are found."""
     vectors = d.table(spark, sf, "embeddings")
-    return style.nearest_style_lsh(vectors, vectors, 5, max_distance=1.2)
+    radius = 1.2
+    near = style.nearest_style(vectors, vectors, 5).filter(F.col("similarity") >= 1 - radius * radius / 2)
+    exact = near.select("query_id", "match_id", F.col("similarity").alias("_e"))
+    found = style.nearest_style_lsh(vectors, vectors, 5, max_distance=radius)
+    both = exact.join(
+        found.select("query_id", "match_id", F.col("similarity").alias("_f")), ["query_id", "match_id"], "full_outer"
+    )
+    return both.agg(
+        F.count_if(F.abs(F.col("_e") - F.col("_f")) > 1e-5).cast("int").alias("n_wrong"),
+        (F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()) >= 0.8 * F.count("_e")).alias("recall_ok"),
+    )

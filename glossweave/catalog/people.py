@@ -12,9 +12,9 @@ from glossweave.sources import read_pages
 
 AS_OF = "2024-01-31"
 
-_MENTION = r"\p{L}+-(?:" + "|".join(HONORIFICS) + r")\b"
+_MENTION = r"\p{L}+(?:-\p{L}+)*-(?:" + "|".join(HONORIFICS) + r")\b"
 _MENTIONS = f"""SELECT id, unnest(range(0, len(m))) AS mention_no,
-    split_part(unnest(m), '-', 1) AS name, split_part(unnest(m), '-', 2) AS honorific
+    regexp_replace(unnest(m), '-[^-]*$', '') AS name, split_part(unnest(m), '-', -1) AS honorific
   FROM (SELECT id, regexp_extract_all(text, {d.sql_text(_MENTION)}) AS m FROM mentions_text)"""
 
 
@@ -109,9 +109,9 @@ _DEFAULT_ROWS = ", ".join(
 
 @query(
     d.with_views(
-        f"""WITH u AS (SELECT user_id, key, arg_max(value, ts) AS value FROM settings
+        f"""WITH u AS (SELECT user_id, key, max(row(ts, value))[2] AS value FROM settings
                        WHERE device = 0 GROUP BY 1, 2),
-            v AS (SELECT user_id, device, key, arg_max(value, ts) AS value FROM settings
+            v AS (SELECT user_id, device, key, max(row(ts, value))[2] AS value FROM settings
                   WHERE device <> 0 GROUP BY 1, 2, 3),
             dv AS (SELECT DISTINCT user_id, device FROM v),
             ks AS (SELECT user_id, device, key FROM dv, (VALUES {_DEFAULT_ROWS}) f(key, value)
@@ -128,7 +128,7 @@ _DEFAULT_ROWS = ", ".join(
 def resolve_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Device 0 holds the account-wide settings, the others their own."""
     rows = d.settings(spark, sf)
-    latest = F.max_by("value", "ts").alias("value")
+    latest = F.max(F.struct("ts", "value"))["value"].alias("value")
     user = rows.filter("device = 0").groupBy("user_id", "key").agg(latest)
     device = rows.filter("device != 0").groupBy("user_id", "device", "key").agg(latest)
     return state.resolve_settings(state.SETTING_DEFAULTS, user, device)
@@ -181,12 +181,15 @@ def performance_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS n,
          round(sum(round(value * 100)::BIGINT) / 100 / count(*), 6) AS mean, max(value) AS max,
-         quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
+         true AS p50_close, true AS p95_close
        FROM events GROUP BY 1, 2"""
 )
 def performance_metrics_approx(spark: SparkSession, sf: str) -> DataFrame:
-    """The sketch is exact while a group holds fewer rows than its accuracy parameter."""
-    return state.performance_metrics(d.table(spark, sf, "events"), "1 day")
+    """Approximate quantiles, judged by their ranks, at any size of a group."""
+    events = d.table(spark, sf, "events")
+    found = state.performance_metrics(events, "1 day")
+    keyed = events.select("event_type", F.window("ts", "1 day")["start"].alias("window_start"), "value")
+    return d.with_close_ranks(found, keyed, ["event_type", "window_start"], {"p50": 0.5, "p95": 0.95})
 
 
 _TTL = (

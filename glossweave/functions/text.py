@@ -35,7 +35,11 @@ HIDDEN_PATTERN = "(?is)<!--.*?-->|" + "|".join(
 )
 BLOCK_PATTERN = r"(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + r")\b[^>]*>"
 TAG_PATTERN = r"<[^>]*>"
-WORD_PATTERN = r"\p{L}+"
+# Letters, their marks, and digits.  Scripts written without spaces give a word per letter,
+# so that shingles of them are character n-grams.
+WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
+UNSPACED_SCRIPTS = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+UNSPACED_PATTERN = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED_SCRIPTS) + "]"
 
 # Full-width forms U+FF01..U+FF5E map to ASCII by a constant shift.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -66,7 +70,10 @@ def fingerprint(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(col), F.lit(WORD_PATTERN), F.lit(0))
+    """Lower-cased words; each letter of a script without spaces is one."""
+    lower = F.lower(col)
+    spaced = F.when(lower.rlike(UNSPACED_PATTERN), F.regexp_replace(lower, UNSPACED_PATTERN, " $0 ")).otherwise(lower)
+    return F.regexp_extract_all(spaced, F.lit(WORD_PATTERN), F.lit(0))
 
 
 def shingles(word_array: Column) -> Column:

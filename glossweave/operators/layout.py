@@ -19,6 +19,8 @@ from glossweave.session import stored
 BOX = ["x0", "y0", "x1", "y1"]
 CELL = 128
 DENSE = 2_000
+#: Boxes that one task decides together in greedy suppression.
+FOLD = 500
 
 
 def overlap_pairs(regions: DataFrame, min_iou: float = 0.0, cell: int = CELL) -> DataFrame:
@@ -59,13 +61,11 @@ def suppress_overlaps(
     min_iou: float = 0.3,
     mode: str = "local",
     cell: int = CELL,
-    max_rounds: int = 100,
 ) -> DataFrame:
     """Drop boxes that a stronger box of the page overlaps by at least ``min_iou``.
 
     ``local`` drops a box if any stronger neighbour exists.  ``greedy`` drops it
-    only if a stronger neighbour is itself kept, found by rounds until nothing is
-    undecided.  ``min_iou`` must be above 0.
+    only if a stronger neighbour is itself kept.  ``min_iou`` must be above 0.
     """
     leaders = _leaders(regions)
     member = F.struct("score", -F.col("id"))
@@ -73,7 +73,7 @@ def suppress_overlaps(
         beaten = grid_exists(leaders, leaders, cell, _beats(min_iou))
         kept = leaders.join(beaten, ["page", *BOX], "left_anti")
     elif mode == "greedy":
-        kept = _greedy(leaders, min_iou, cell, max_rounds)
+        kept = _greedy(leaders, min_iou, cell)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     # Copies of a kept box overlap it fully, so only its strongest member stays.
@@ -85,24 +85,68 @@ def suppress_overlaps(
     )
 
 
-def _greedy(leaders: DataFrame, min_iou: float, cell: int, max_rounds: int) -> DataFrame:
-    """Rounds over the undecided boxes: keep those without a stronger undecided
-    neighbour, drop their neighbours.  Only boxes are stored, never pairs."""
+def _greedy(leaders: DataFrame, min_iou: float, cell: int) -> DataFrame:
+    """Settle small groups at once, and large ones by rounds until they fall apart.
+
+    A page, or a set of boxes connected by overlaps, of at most ``FOLD`` boxes is decided
+    in one fold from the strongest box down.  What is larger loses in each round the
+    boxes without a stronger neighbour and those they drop, and is cut into connected
+    sets again.  Every round decides boxes, so the rounds end by themselves.
+    """
     key = ["page", *BOX]
-    undecided = stored(leaders, "undecided")
+    rest = stored(leaders.withColumn("group", F.lit(0).cast("long")), "undecided")
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
-        blocked = stored(grid_exists(undecided, undecided, cell, _beats(min_iou)), "blocked")
-        winners = stored(undecided.join(blocked, key, "left_anti"), "kept")
-        kept.append(winners)
-        if blocked.isEmpty():
+    while True:
+        sizes = stored(rest.groupBy("page", "group").count(), "sizes")
+        small, large = sizes.filter(F.col("count") <= FOLD), sizes.filter(F.col("count") > FOLD)
+        kept.append(stored(_fold(rest.join(small, ["page", "group"], "left_semi"), min_iou), "kept"))
+        if large.isEmpty():
             return reduce(DataFrame.unionByName, kept)
+        open_boxes = stored(rest.join(large, ["page", "group"], "left_semi").drop("group"), "undecided")
+        blocked = stored(grid_exists(open_boxes, open_boxes, cell, _beats(min_iou)), "blocked")
+        winners = stored(open_boxes.join(blocked, key, "left_anti"), "kept")
+        kept.append(winners)
         losers = grid_exists(blocked, winners, cell, iou() >= min_iou)
-        undecided = stored(blocked.join(losers, key, "left_anti"), "undecided")
-    raise RuntimeError(f"suppression did not converge in {max_rounds} rounds")
+        left = stored(
+            blocked.join(losers, key, "left_anti").withColumn("id", -F.col("rank.col2")), "undecided"
+        )
+        touching = grid_join(left, left, cell).filter((F.col("a_id") < F.col("b_id")) & (iou() >= min_iou))
+        parts = connected_components(touching.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+        rest = stored(
+            left.join(parts, left["id"] == parts["node"], "left").select(
+                *key, "rank", F.coalesce("component", "id").alias("group")
+            ),
+            "undecided",
+        )
+
+
+def _fold(boxes: DataFrame, min_iou: float) -> DataFrame:
+    """Per group, from the strongest box down: keep a box if it overlaps none kept so far."""
+    box = F.struct("rank", *BOX)
+
+    def shared(a: Column, b: Column) -> Column:
+        wide = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+        high = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+        return F.when((wide > 0) & (high > 0), wide * high).otherwise(0)
 
+    def size(a: Column) -> Column:
+        return (a["x1"] - a["x0"]) * (a["y1"] - a["y0"])
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    def clash(a: Column, b: Column) -> Column:
+        both = shared(a, b)
+        return (both > 0) & (both / (size(a) + size(b) - both) >= min_iou)
+
+    grouped = boxes.groupBy("page", "group").agg(F.sort_array(F.collect_list(box), asc=False).alias("_all"))
+    none = F.slice("_all", 1, 0)
+    chosen = F.aggregate(
+        "_all", none, lambda kept, b: F.when(F.exists(kept, lambda k: clash(k, b)), kept).otherwise(F.concat(kept, F.array(b)))
+    )
+    return grouped.select("page", F.explode(chosen).alias("_b")).select(
+        "page", *[F.col(f"_b.{c}").alias(c) for c in BOX], F.col("_b.rank").alias("rank")
+    )
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component of each node of an undirected edge table (a, b), as (node, component).
 
     Alternates "large star" and "small star" rewiring (Kiveris et al., SoCC 2014),
@@ -115,7 +159,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -130,16 +174,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = leaves.select(F.col("component").alias("node"), "component").distinct()
     return leaves.unionByName(roots)
 
 
-def merge_regions(
-    regions: DataFrame, cell: int = CELL, max_rounds: int = 60, dense: int = DENSE
-) -> DataFrame:
+def merge_regions(regions: DataFrame, cell: int = CELL, dense: int = DENSE) -> DataFrame:
     """Union overlapping boxes into text blocks.
 
     Result: (page, block_id = lowest region id, n_regions, x0, y0, x1, y1).  If some
@@ -157,12 +197,12 @@ def merge_regions(
     if crowded.isEmpty():
         owned = distinct.withColumn("block_id", F.col("id"))
     else:
-        owned = stored(_relabel(distinct, "id", _lattice_edges(distinct, cell // 4), max_rounds), "boxes")
+        owned = stored(_relabel(distinct, "id", _lattice_edges(distinct, cell // 4)), "boxes")
     parts = owned.select("page", "block_id", *BOX)
     touching = grid_join(parts, parts, cell).filter("a_block_id < b_block_id")
     edges = touching.select(F.col("a_block_id").alias("a"), F.col("b_block_id").alias("b"))
     return (
-        _relabel(owned, "block_id", edges, max_rounds)
+        _relabel(owned, "block_id", edges)
         .groupBy("page", "block_id")
         .agg(
             F.sum("n").alias("n_regions"),
@@ -174,9 +214,9 @@ def merge_regions(
     )
 
 
-def _relabel(boxes: DataFrame, label: str, edges: DataFrame, max_rounds: int) -> DataFrame:
+def _relabel(boxes: DataFrame, label: str, edges: DataFrame) -> DataFrame:
     """Replace ``block_id`` by the component of ``label``, or by the label if it has no edge."""
-    parts = connected_components(edges, max_rounds).withColumnRenamed("node", "_label")
+    parts = connected_components(edges).withColumnRenamed("node", "_label")
     return (
         boxes.withColumn("_label", F.col(label))
         .join(parts, "_label", "left")
@@ -219,27 +259,26 @@ def reading_order(
     band: int = 60,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Order of regions inside (page, panel): row bands first, then x in the direction.
+    """Order of regions inside (page, panel).
 
-    Regions without a panel (null ``panel_no``) form a group of their own, numbered -1.
+    ``rtl`` and ``ltr`` read row bands from the top, each in the direction; ``vertical``
+    reads column bands from the right, each downwards.  Regions without a panel (null
+    ``panel_no``) form a group of their own, numbered -1.
     """
-    if direction not in ("rtl", "ltr"):
+    if direction == "vertical":
+        order = [-F.floor(F.col("x1") / band), F.col("y0"), -F.col("x1"), F.col("id")]
+    elif direction in ("rtl", "ltr"):
+        across = -F.col("x1") if direction == "rtl" else F.col("x0")
+        order = [F.floor(F.col("y0") / band), across, F.col("y0"), F.col("id")]
+    else:
         raise ValueError(f"unknown direction {direction!r}")
-    across = -F.col("x1") if direction == "rtl" else F.col("x0")
-    row = F.floor(F.col("y0") / band)
     placed = regions.withColumn("panel_no", F.coalesce("panel_no", F.lit(-1)))
     return running_sum(
         placed,
         ["page", "panel_no"],
-        [row, across, F.col("y0"), F.col("id")],
+        order,
         F.lit(1),
         "ord",
-        [
-            ("_l1", row),
-            ("_l2", across),
-            ("_l3", F.col("y0")),
-            ("_l4", F.floor(F.col("id") / 100_000)),
-        ],
         limit,
     ).select("page", "panel_no", "id", "ord")
 

@@ -83,7 +83,6 @@ def restore_sentences(
     order: str = "pos",
     key: str = "doc_id",
     limit: int = HOT_ROWS,
-    chunk: int = 100_000,
 ) -> DataFrame:
     """Join fragments until one ends a sentence: (key, sentence_no, first_pos, n_parts, text).
 
@@ -98,7 +97,6 @@ def restore_sentences(
         [F.col(order)],
         F.col("_end"),
         "_ends",
-        [("_chunk", F.floor(F.col(order) / chunk))],
         limit,
     ).withColumn("sentence_no", F.col("_ends") - F.col("_end"))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text"))))

@@ -76,21 +76,19 @@ def apply_consent(
     events: DataFrame,
     consent: DataFrame,
     limit: int = HOT_ROWS,
-    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Events whose user had granted consent at event time (as-of join, consent at the same instant counts).
 
     ``consent`` is (user_id, state, ts).  Both are put in one time line per user;
     a user with very many rows is cut into time chunks, and the last state before
-    each chunk is carried in from per-chunk maxima.
+    each chunk is carried in from per-chunk maxima.  A null state changes nothing.
     """
     cols = events.columns
     line = events.select("user_id", "ts", F.lit(1).alias("_src"), F.struct(*cols).alias("_e")).unionByName(
         consent.select("user_id", "ts", F.lit(0).alias("_src"), F.col("state").alias("_state")),
         allowMissingColumns=True,
     )
-    chunk = F.floor(epoch_micros(line, "ts") / (chunk_seconds * 1_000_000))
-    marked = mark_chunks(line, ["user_id"], [("_chunk", chunk)], limit)
+    marked = mark_chunks(line, ["user_id"], [F.col("ts")], limit)
     parts = ["user_id"] if marked is None else ["user_id", "_chunk"]
     # Of several consent rows at one instant the revocation, sorting last, decides.
     ordered = Window.partitionBy(*parts).orderBy("ts", "_src", F.col("_state").asc_nulls_last())
@@ -101,10 +99,11 @@ def apply_consent(
             .filter((F.col("_src") == 1) & (F.col("_own") == "granted"))
             .select("_e.*")
         )
+    known = (F.col("_src") == 0) & F.col("_state").isNotNull()
     lasts = (
         marked.filter("_hot")
         .groupBy("user_id", "_chunk")
-        .agg(F.max(F.when(F.col("_src") == 0, F.struct("ts", "_state"))).alias("_m"))
+        .agg(F.max(F.when(known, F.struct("ts", "_state"))).alias("_m"))
     )
     earlier = Window.partitionBy("user_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(
@@ -277,13 +276,14 @@ def integrity_audit(files: DataFrame, checksums: DataFrame) -> DataFrame:
     """Compare (path, content) with (path, sha256): (path, status, expected, actual).
 
     Status is matched, changed, missing (listed, no file) or extra (file, not listed).
+    A file without content is there; it matches only a listing without a checksum.
     """
-    have = files.select("path", F.sha2("content", 256).alias("actual"))
-    want = checksums.select("path", F.col("sha256").alias("expected"))
+    have = files.select("path", F.sha2("content", 256).alias("actual"), F.lit(True).alias("_file"))
+    want = checksums.select("path", F.col("sha256").alias("expected"), F.lit(True).alias("_listed"))
     status = (
-        F.when(F.col("actual").isNull(), "missing")
-        .when(F.col("expected").isNull(), "extra")
-        .when(F.col("actual") == F.col("expected"), "matched")
+        F.when(F.col("_file").isNull(), "missing")
+        .when(F.col("_listed").isNull(), "extra")
+        .when(F.col("actual").eqNullSafe(F.col("expected")), "matched")
         .otherwise("changed")
     )
     return have.join(want, "path", "full_outer").select("path", status.alias("status"), "expected", "actual")

@@ -13,6 +13,8 @@ from glossweave.session import stored
 # Similarities are ranked after rounding, so that copies of a vector tie exactly.
 DIGITS = 6
 SLACK = 1e-5
+#: Pivots are sent to every task; beyond this number cells grow and are split into blocks.
+MOST_PIVOTS = 4096
 
 
 def _units(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -60,12 +62,13 @@ def nearest_style(
     Library vectors live in the cell of their nearest pivot.  The pivots give each
     query an upper bound on its k-th distance and each cell a lower bound, so a
     query is sent only to cells that can hold a result (triangle inequality on unit
-    vectors).  Cells are split into blocks of about ``block`` vectors, queries
-    likewise, and each pair of blocks returns its k best per query.
+    vectors).  A cell is split into blocks of about ``block`` vectors, and so are the
+    queries that want it; each pair of blocks returns its k best per query.  A library
+    vector is copied once per block of queries that want its cell, and no further.
     """
     lib = _units(library, id_col, vector)
     if n_pivots is None:
-        n_pivots = min(256, max(1, library.count() // block))
+        n_pivots = min(MOST_PIVOTS, max(1, lib.count() // block))
     pivots = _pivots(lib, n_pivots)
     if len(pivots) == 0:
         raise ValueError("the library is empty")
@@ -101,21 +104,26 @@ def nearest_style(
         return pd.Series([[cells[i] for i in np.flatnonzero(row)] for row in mask])
 
     shard_of = F.create_map(*[F.lit(x) for c in cells for x in (c, int(shards[c]))])
-    q = _to_pivots(_units(queries, id_col, vector), pivots).select("_id", "_u", F.explode(wanted("_d")).alias("_cell"))
-    q_total = queries.count()
-    q_shards = max(1, -(-q_total // block))
+    q = stored(
+        _to_pivots(_units(queries, id_col, vector), pivots).select("_id", "_u", F.explode(wanted("_d")).alias("_cell")),
+        "queries",
+    )
+    asked = {r["_cell"]: r["count"] for r in q.groupBy("_cell").count().collect()}
+    if not asked:
+        return _top_k(q.selectExpr("_id AS query_id", "_id AS match_id", "double(0) AS similarity"), k)
+    asking = F.create_map(*[F.lit(x) for c in asked for x in (c, -(-asked[c] // block))])
     q = q.select(
         "_id",
         "_u",
         "_cell",
-        F.pmod(F.xxhash64("_id"), F.lit(q_shards)).alias("_qs"),
+        F.pmod(F.xxhash64("_id"), F.element_at(asking, F.col("_cell"))).cast("int").alias("_qs"),
         F.explode(F.sequence(F.lit(0), F.element_at(shard_of, F.col("_cell")) - 1)).alias("_ls"),
     )
-    lib = lib.select(
+    lib = lib.filter(F.map_contains_key(asking, F.col("_cell"))).select(
         "_id",
         "_u",
         "_cell",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_shards - 1).cast("long"))).alias("_qs"),
+        F.explode(F.sequence(F.lit(0), F.element_at(asking, F.col("_cell")) - 1)).alias("_qs"),
         F.pmod(F.xxhash64("_id"), F.element_at(shard_of, F.col("_cell"))).cast("int").alias("_ls"),
     )
 

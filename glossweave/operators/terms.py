@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,21 +10,43 @@ from pyspark.sql import DataFrame, functions as F
 from glossweave.functions.text import collapse_stretch, words
 
 # The honorifics looked for by default.
-HONORIFICS = ["san", "kun", "chan", "senpai"]
+HONORIFICS = ["san", "kun", "chan", "senpai", "sama", "dono", "sensei", "tan"]
+# The same in Japanese script, written without a hyphen.
+HONORIFICS_JA = ["さん", "くん", "ちゃん", "先輩", "様", "殿", "先生", "さま"]
+
+#: Rows and characters of a glossary that may be sent to every executor.
+SMALL_TERMS, SMALL_CHARS = 200_000, 8_000_000
+SALTS = 32
 
 
 def scan_honorifics(
-    segments: DataFrame, honorifics: Sequence[str] = HONORIFICS, key: Sequence[str] = ("id",)
+    segments: DataFrame,
+    honorifics: Sequence[str] = HONORIFICS,
+    key: Sequence[str] = ("id",),
+    japanese: Sequence[str] = HONORIFICS_JA,
 ) -> DataFrame:
-    """Each name-honorific mention of a text as (key, mention_no, name, honorific)."""
-    pattern = r"\p{L}+-(?:" + "|".join(honorifics) + r")\b"
+    """Each name-honorific mention of a text as (key, mention_no, name, honorific).
+
+    Latin names may have hyphens of their own, the honorific follows the last one.  A
+    name in Han, Kana or both is followed by the honorific itself; kana names of which
+    the honorific is not set off by its script cannot be told from other words.
+    """
+    latin = r"\p{L}+(?:-\p{L}+)*-(?:" + "|".join(map(re.escape, honorifics)) + r")\b"
+    either = "|".join(sorted(map(re.escape, japanese), key=lambda h: (-len(h), h)))
+    native = rf"(?:\p{{IsHan}}{{1,6}}?|[\p{{IsKatakana}}ー]+)(?:{either})"
+    pattern = f"{latin}|{native}" if japanese else latin
     found = F.posexplode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     mentions = segments.select(*key, found.alias("mention_no", "_m")).filter(F.col("_m").isNotNull())
+    dashed = F.contains(F.col("_m"), F.lit("-"))
     return mentions.select(
         *key,
         "mention_no",
-        F.substring_index("_m", "-", 1).alias("name"),
-        F.substring_index("_m", "-", -1).alias("honorific"),
+        F.when(dashed, F.expr("left(_m, length(_m) - length(substring_index(_m, '-', -1)) - 1)"))
+        .otherwise(F.regexp_replace("_m", f"(?:{either})$", ""))
+        .alias("name"),
+        F.when(dashed, F.substring_index("_m", "-", -1))
+        .otherwise(F.regexp_extract("_m", f"(?:{either})$", 0))
+        .alias("honorific"),
     )
 
 
@@ -56,18 +79,44 @@ def annotate_terms(
 ) -> DataFrame:
     """Dictionary hits and coverage per segment that has words.
 
-    Result: (key, n_words, n_hits, coverage).  A segment's words come from one row,
-    so partial aggregation sends about one row per segment.
+    Result: (key, n_words, n_hits, coverage).  A term of several words, such as any of
+    more than one letter in a script without spaces, is met where its words follow each
+    other; each occurrence of a term is a hit.  A glossary of measured small size is
+    sent to every executor.  A larger one is joined by (term, salt), so that a word that
+    makes up much of all text is spread over many tasks.
     """
     key = list(key)
-    tokens = segments.select(*key, F.explode_outer(words(F.col("text"))).alias("term")).filter(
-        F.col("term").isNotNull()
+    terms = (
+        glossary.select(words(F.col("term")).alias("_w"))
+        .filter(F.size("_w") > 0)
+        .select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("_n"))
+        .distinct()
     )
-    known = glossary.select("term", F.lit(1).alias("_known")).distinct()
+    longest, n, chars = terms.agg(
+        F.max("_n"), F.count(F.lit(1)), F.sum(F.length("term"))
+    ).first()
+    split = segments.select(*key, words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.size("_w"), F.lit(longest or 1))),
+            lambda k: F.transform(
+                F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " ")
+            ),
+        )
+    )
+    tokens = split.select(*key, F.size("_w").alias("n_words"), F.explode(grams).alias("term"))
+    known = terms.select("term", F.lit(1).alias("_known"))
+    if n <= SMALL_TERMS and (chars or 0) <= SMALL_CHARS:
+        met = tokens.join(F.broadcast(known), "term", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")
+        met = tokens.withColumn("_salt", salt).join(
+            known.withColumn("_salt", salts), ["term", "_salt"], "left"
+        )
     return (
-        tokens.join(known, "term", "left")
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n_words"), F.count("_known").alias("n_hits"))
+        met.groupBy(*key)
+        .agg(F.max("n_words").cast("long").alias("n_words"), F.count("_known").alias("n_hits"))
         .withColumn("coverage", F.round(F.col("n_hits") / F.col("n_words"), 6))
     )
 

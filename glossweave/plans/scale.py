@@ -1,10 +1,12 @@
 """Window and range-join building blocks that survive a hot key.
 
 A window partitioned by a key puts each key into one task.  The helpers here
-split only the keys that hold more than ``limit`` rows into ordered chunks, run
-the window inside the chunks and add what the earlier chunks carry over.  All
-rows stay in the result.  Whether any key is that large is counted first, in one
-pass over the key columns; without one the plan is the plain window.
+split every key that holds more than ``limit`` rows into ordered chunks, run the
+window inside the chunks and add what the earlier chunks carry over.  All rows
+stay in the result.  Borders between chunks are rows of the key itself, compared
+by the window's whole order, so any orderable types, nulls, ties and gaps give the
+same result as the plain window.  Whether any key is that large is counted first,
+in one pass over the key columns; without one the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -13,8 +15,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glossweave.session import stored
+
 HOT_ROWS = 1_000_000
-HOT_SHARE = 2_000
+#: Chunks of one key, at most; above, chunks grow beyond ``limit`` rows.
+MOST_CHUNKS = 10_000
+#: Rows drawn per border.
+DRAWN = 8
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -28,41 +35,72 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``limit`` rows and more than 1/2000 of all rows, or None.
+    """(keys, _n) of the keys with more than ``limit`` rows, or None if there is none.
 
-    Runs one count per key.  At most 2000 keys can pass the second test, so the
-    2000 largest hold them all and the result may be broadcast; a key that fails
-    it is no larger than a normal shuffle partition.
+    The counts are written to the shared folder; the planner decides by their size
+    whether they may be broadcast.
     """
-    top = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .orderBy(F.col("_n").desc())
-        .limit(HOT_SHARE)
-        .collect()
-    )
-    total = df.count() if top else 0
-    rows = [tuple(r[k] for k in keys) for r in top if r["_n"] * HOT_SHARE > total]
-    if not rows:
-        return None
-    schema = df.select(*keys).schema
-    return df.sparkSession.createDataFrame(rows, schema).withColumn("_hot", F.lit(True))
+    hot = stored(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit), "hot"
+    )
+    return None if hot.isEmpty() else hot
 
 
 def mark_chunks(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]], limit: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = HOT_ROWS
 ) -> DataFrame | None:
-    """Add ``_hot`` and the chunk columns ``levels`` (0 for other keys); None if no key is hot."""
+    """Add ``_hot`` and ``_chunk`` (0 for other keys); None if no key is hot.
+
+    ``order`` sorts ascending with nulls first; chunks follow it, and rows that tie in
+    it share a chunk.  Rows drawn by hash serve as borders, about ``DRAWN`` for each
+    chunk of ``limit`` rows, and are kept in two levels, so that a row is compared with
+    some hundred borders at most.
+    """
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return None
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_hot", F.coalesce("_hot", F.lit(False))
+    keys = list(keys)
+    wanted = F.least(F.ceil(F.col("_n") / F.lit(max(1, limit))), F.lit(MOST_CHUNKS))
+    drawn = (
+        df.withColumn("_at", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+        .join(hot, keys)
+        .filter(
+            F.pmod(F.xxhash64("_at"), F.lit(1 << 30)) <= wanted * DRAWN / F.col("_n") * float(1 << 30)
+        )
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_set("_at")).alias("_drawn"), F.max(wanted).cast("int").alias("_c"))
+    )
+    step = F.greatest(F.lit(1), F.floor(F.size("_drawn") / F.col("_c")).cast("int"))
+    picked = drawn.select(
+        *keys,
+        F.transform(
+            F.sequence(F.lit(1), F.ceil(F.size("_drawn") / step).cast("int")),
+            lambda i: F.element_at("_drawn", ((i - 1) * step + 1).cast("int")),
+        ).alias("_b"),
+    ).withColumn("_m", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_b"))).cast("int")))
+    groups = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_b") - 1) / F.col("_m")).cast("int")),
+        lambda j: F.slice("_b", j * F.col("_m") + 1, F.col("_m")),
+    )
+    borders = stored(picked.select(*keys, "_m", groups.alias("_g")), "borders")
+
+    def reached(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda n, b: n + (b <= F.col("_at")).cast("int"))
+
+    outer = reached(F.transform("_g", lambda g: F.element_at(g, 1)))
+    inner = reached(F.element_at("_g", F.col("_outer")))
+    return (
+        df.join(hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
+        .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        .join(borders, keys, "left")
+        .withColumn("_at", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+        .withColumn("_outer", F.when(F.col("_g").isNotNull(), outer).otherwise(0))
+        .withColumn(
+            "_chunk",
+            F.when(F.col("_outer") > 0, (F.col("_outer") - 1) * F.col("_m") + inner).otherwise(0).cast("long"),
+        )
+        .drop("_at", "_outer", "_m", "_g")
     )
-    for name, expr in levels:
-        marked = marked.withColumn(name, F.when(F.col("_hot"), expr.cast("long")).otherwise(0))
-    return marked
 
 
 def running_sum(
@@ -71,52 +109,30 @@ def running_sum(
     order: Sequence[Column],
     value: Column,
     name: str,
-    levels: Sequence[tuple[str, Column]],
     limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``order``.
+    """Inclusive running sum of ``value`` per key in ``order`` (ascending, nulls first).
 
-    ``levels`` are (name, integer expression) chunk columns; sorting by them
-    first, ascending, must not change ``order``.  Offsets are prefix sums over
-    chunk totals, one level at a time, so no window partition holds more than
-    one level's distinct values or one chunk's rows.  Keys must not be null.
+    Offsets are prefix sums over the totals of a key's chunks, so no window partition
+    holds more than one chunk's rows or one key's chunks.  Keys must not be null.
     """
     keys = list(keys)
-    names = [n for n, _ in levels]
     upto = (Window.unboundedPreceding, Window.currentRow)
-    marked = mark_chunks(df, keys, levels, limit)
+    marked = mark_chunks(df, keys, order, limit)
     if marked is None:
         return df.withColumn(
             name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))
         )
     marked = marked.withColumn("_v", value)
-    totals = marked.filter("_hot").groupBy(*keys, *names).agg(F.sum("_v").alias("_t"))
-    offsets = None
-    for depth in range(1, len(names) + 1):
-        parent, own = [*keys, *names[: depth - 1]], names[depth - 1]
-        step = totals if depth == len(names) else totals.groupBy(*parent, own).agg(
-            F.sum("_t").alias("_t")
-        )
-        before = Window.partitionBy(*parent).orderBy(own).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        step = step.select(
-            *parent, own, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s")
-        )
-        if offsets is None:
-            offsets = step.withColumnRenamed("_s", "_off")
-        else:
-            offsets = (
-                step.join(offsets, parent)
-                .withColumn("_off", F.col("_off") + F.col("_s"))
-                .drop("_s")
-            )
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*upto)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.filter("_hot").groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(*upto)
     return (
         marked.withColumn("_in", F.sum("_v").over(inside))
-        .join(offsets, [*keys, *names], "left")
+        .join(offsets, [*keys, "_chunk"], "left")
         .withColumn(name, F.coalesce("_off", F.lit(0)) + F.col("_in"))
-        .drop("_hot", "_v", "_off", "_in", *names)
+        .drop("_hot", "_v", "_off", "_in", "_chunk")
     )
 
 

@@ -142,11 +142,12 @@ def read_event_stream(
 def write_cache(df: DataFrame, path: str, partition: str) -> None:
     """Replace exactly the partitions present in ``df``; writing twice changes nothing.
 
-    Every task writes its own file per partition value, so a partition that holds
-    most of the rows is still written by many tasks.
+    Rows are gathered by partition value and rebalanced, so a small value is written by
+    one task and one that holds most of the rows by as many as its size needs.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", F.col(partition))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)

@@ -74,7 +74,7 @@ def test_restore_sentences(spark, limit):
     rows = [(1, i, t) for i, t in enumerate(["Oh", "no.", "Run!", "and", "then"])] + [(2, 7, "Alone")]
     rows += [(3, i, "part." if i % 3 == 2 else "part") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, text string")
-    got = prepare.restore_sentences(df, limit=limit, chunk=4).collect()
+    got = prepare.restore_sentences(df, limit=limit).collect()
     first = sorted((r.sentence_no, r.first_pos, r.n_parts, r.text) for r in got if r.doc_id == 1)
     assert first == [(0, 0, 2, "Oh no."), (1, 2, 1, "Run!"), (2, 3, 2, "and then")]
     third = sorted((r.sentence_no, r.first_pos, r.n_parts) for r in got if r.doc_id == 3)

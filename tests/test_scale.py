@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from glossweave.plans.scale import exact_quantiles, grid_join, hot_keys, running_sum
+from glossweave.plans.scale import exact_quantiles, grid_join, hot_keys, mark_chunks, running_sum
 
 
 def skewed(n=600, seed=1):
@@ -29,19 +29,49 @@ def test_running_sum_matches_plain_window(spark, limit):
         [F.col("a"), F.col("b"), F.col("id")],
         F.col("b"),
         "s",
-        [("_l1", F.col("a")), ("_l2", F.col("b")), ("_l3", F.floor(F.col("id") / 7))],
         limit,
     )
     assert got.columns == ["k", "id", "a", "b", "s"]
     assert {(r.id, r.s) for r in got.collect()} == want
 
 
-def test_hot_keys_are_few(spark):
-    df = spark.createDataFrame([(i % 5000, i) for i in range(20_000)], "k int, id int")
-    assert hot_keys(df, ["k"], 3) is None
+def test_every_key_above_the_limit_is_hot(spark):
+    df = spark.createDataFrame([(i % 500, i) for i in range(2_000)], "k int, id int")
+    assert hot_keys(df, ["k"], 4) is None
+    assert hot_keys(df, ["k"], 3).count() == 500
     assert hot_keys(df.withColumn("k", F.lit(1)), ["k"], 3).count() == 1
 
 
+ORDERS = {
+    "fractional": lambda rnd, i: rnd.random() * 10,
+    "nulls": lambda rnd, i: None if rnd.random() < 0.3 else rnd.random(),
+    "ties": lambda rnd, i: float(rnd.randrange(3)),
+    "sparse": lambda rnd, i: float(rnd.randrange(10) * 10**12 + i),
+    "one value": lambda rnd, i: 0.5,
+}
+
+
+@pytest.mark.parametrize("kind", [*ORDERS, "time", "text"])
+@pytest.mark.parametrize("limit", [1, 7, 60])
+def test_chunks_of_any_order(spark, kind, limit):
+    """The same numbers as the plain window, for whatever the order column holds."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 0, 0, 1, 2]), i, ORDERS.get(kind, ORDERS["nulls"])(rnd, i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, id int, o double")
+    if kind == "time":
+        df = df.withColumn("o", F.timestamp_seconds(F.col("o") * 1e6))
+    if kind == "text":
+        df = df.withColumn("o", F.col("o").cast("string"))
+    w = Window.partitionBy("k").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.id, r.s) for r in df.withColumn("s", F.sum("id").over(w)).collect()}
+    got = running_sum(df, ["k"], [F.col("o"), F.col("id")], F.col("id"), "s", limit)
+    assert {(r.id, r.s) for r in got.collect()} == want
+    marked = mark_chunks(df, ["k"], [F.col("o"), F.col("id")], limit)
+    if limit == 7:
+        sizes = [r["count"] for r in marked.groupBy("k", "_chunk").count().collect()]
+        assert len(sizes) > 10 and max(sizes) < 80
+
+
 @pytest.mark.parametrize("edges", [2, 8, 64])
 def test_exact_quantiles(spark, edges):
     rnd = random.Random(3)
