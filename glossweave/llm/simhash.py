@@ -20,7 +20,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossweave.llm.common import drop_rows, map_rows, type_of
+from glossweave.llm.common import drop_rows, map_rows, type_of, union_all
 from glossweave.llm.graph import components
 from glossweave.session import stored
 
@@ -29,6 +29,11 @@ SEGMENTS, WIDTH = 16, 4
 FIELD = 3
 #: Shingle hashes counted at a time, so a very long text needs no more memory.
 BLOCK = 1 << 15
+#: Differing bits that still link near copies in ``near_groups``; the halves' join is exact up to five.
+WIDE_BITS = 5
+WIDE_SHARE = 0.12
+#: Fingerprints of one group that one task compares with each other's leaders.
+FOLD = 400
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -71,17 +76,22 @@ def fingerprints(
     )
 
 
-def cell_of(fp: Column) -> Column:
-    """The packed vector of bit counts, each plus one."""
+def cell_of(bits: Column, width: int = WIDTH) -> Column:
+    """The packed vector of bit counts of 16 segments of ``width`` bits, each plus one."""
     key = F.lit(0).cast("long")
     for i in range(SEGMENTS):
-        count = F.bit_count(F.shiftrightunsigned(fp, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)))
+        count = F.bit_count(F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit((1 << width) - 1)))
         key = key + (count + 1).cast("long") * (1 << (FIELD * i))
     return key
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) that differ in one or two bits.
+    """Pairs (a, b) of distinct fingerprints (column fp) that differ in one or two bits."""
+    return _grid_join(fps.select("fp", cell_of(F.col("fp")).alias("cell")), 2)
+
+
+def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints (fp) within ``radius`` bits whose cells are within distance two.
 
     With unit steps e_i, two cells within distance two are equal, or one is the other
     plus e_i, or they differ by e_i + e_j (i <= j) or e_i - e_j (i < j), up to exchange.
@@ -103,9 +113,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
                 for delta, sign, i in targets
             ]
         )
-        return fps.select(F.col("fp").alias(side), cell_of(F.col("fp")).alias("cell")).select(
-            side, F.inline(places)
-        )
+        return cells.select(F.col("fp").alias(side), "cell").select(side, F.inline(places))
 
     left = sent("a", [(0, 0, 0), *[(moved + s, 1, i) for i, s in enumerate(step)]])
     right = sent(
@@ -123,7 +131,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
         .when(F.col("b_sign") < 0, F.col("a_i") <= F.col("b_i"))
         .otherwise(F.col("a_i") < F.col("b_i"))
     )
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     met = left.withColumnRenamed("cell", "a_cell").join(
         right, (F.col("a_cell") == F.col("cell")) & close & once
     )
@@ -161,12 +169,145 @@ def simhash_groups(
     )
 
 
+def _leaders(members: DataFrame, radius: int) -> DataFrame:
+    """Per (view, half): array of links to leaders, and the leaders, of a group's fingerprints.
+
+    In ascending order, a fingerprint within ``radius`` bits of a leader is linked to it,
+    and any other becomes a leader.  A group thus gives one link per member, never all pairs.
+    """
+    leaders = F.array().cast("array<bigint>")
+    links = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def step(acc: Column, fp: Column) -> Column:
+        near = F.filter(acc["leaders"], lambda x: F.bit_count(x.bitwiseXOR(fp)) <= radius)
+        found = F.size(near) > 0
+        link = F.struct(F.get(near, F.lit(0)).alias("a"), fp.alias("b"))
+        return F.struct(
+            F.when(found, acc["leaders"]).otherwise(F.concat(acc["leaders"], F.array(fp))).alias("leaders"),
+            F.when(found, F.concat(acc["links"], F.array(link))).otherwise(acc["links"]).alias("links"),
+        )
+
+    start = F.struct(leaders.alias("leaders"), links.alias("links"))
+    keys = [c for c in members.columns if c != "fp"]
+    return members.groupBy(*keys).agg(F.array_sort(F.collect_list("fp")).alias("fps")).select(
+        "view", "half", F.aggregate("fps", start, step).alias("met")
+    )
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_BITS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) up to ``radius`` (at most five) bits.
+
+    Of five differing bits, one 32-bit half holds two at most, so both halves are joined
+    through the popcount grid of their 2-bit segments.  Fingerprints that share a half
+    meet only their group's leaders, and only leaders enter the join: a large group of
+    near copies gives a number of links in proportion to its size.  The links connect
+    whatever leaders and members connect; they are not all pairs.
+    """
+    halves = F.explode(
+        F.array(
+            F.struct(F.lit(0).cast("long").alias("view"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
+            F.struct(F.lit(1).cast("long").alias("view"), F.shiftrightunsigned("fp", 32).alias("half")),
+        )
+    ).alias("h")
+    members = stored(fps.select("fp", halves).select("fp", "h.view", "h.half"), "halves")
+    links = []
+    while True:
+        # groups of many members are split, and their leaders meet in the next round
+        sizes = members.groupBy("view", "half").agg(F.count("fp").alias("n")).filter(f"n > {FOLD}")
+        crowded = stored(sizes, "crowded")
+        largest = crowded.agg(F.max("n")).first()[0] or 0
+        split = members
+        if largest:
+            parts = F.ceil(F.coalesce("n", F.lit(1)) / (FOLD // 2))
+            split = members.join(crowded, ["view", "half"], "left").select(
+                "fp", "view", "half", F.pmod(F.xxhash64("fp"), parts).alias("part")
+            )
+        met = stored(_leaders(split, radius), "leaders")
+        links.append(met.select(F.inline("met.links")))
+        members = met.select(F.explode("met.leaders").alias("fp"), "view", "half")
+        if not largest:
+            break
+        if members.groupBy("view", "half").count().agg(F.max("count")).first()[0] >= largest:
+            break  # a crowd of unlike fingerprints: the join below compares them all
+    cells = members.select("fp", (cell_of(F.col("half"), 2) + F.col("view") * (1 << 50)).alias("cell"))
+    return union_all([*links, _grid_join(cells, radius)])
+
+
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    seeds: tuple[int, ...] = (42, 43, 44),
+    radius: int = WIDE_BITS,
+    share: float = WIDE_SHARE,
+) -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest id of the group).
+
+    The wider form of ``simhash_groups`` for removing near copies, with one fingerprint
+    per seed.  Pairs of which one fingerprint differs in ``radius`` bits or fewer are
+    compared by all of them, and linked if at most ``share`` of the bits differ; with
+    shingles of three words that is about a similarity of 0.8 on shingles of five.
+    Blank texts are linked to each other.  Nulls, repeated rows and empty tables are
+    treated as there.
+    """
+
+    def rows(each: Iterable[tuple]) -> Iterator[tuple]:
+        for key, text in each:
+            yield key, [fingerprint(text, shingle, seed) for seed in seeds]
+
+    found = stored(
+        map_rows(
+            docs,
+            [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")],
+            f"doc_id {type_of(docs, id_col)}, fps array<long>",
+            rows,
+        ),
+        "fps",
+    )
+    # a node is a distinct list of fingerprints; fingerprints of equal value share a star
+    nodes = stored(
+        found.groupBy("fps").agg(F.min("doc_id").alias("lowest")).withColumn("node", F.xxhash64("fps")), "nodes"
+    )
+    links = []
+    for i in range(len(seeds)):
+        own = nodes.select(F.col("fps")[i].alias("fp"), "node")
+        first = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "first")
+        links.append(own.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+        near = wide_links(first.select("fp"), radius)
+        links.append(
+            near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a")
+            .join(first.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
+            .select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        )
+    pairs = stored(union_all(links).distinct(), "pairs")
+    differ = F.lit(0)
+    for i in range(len(seeds)):
+        differ = differ + F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i]))
+    verified = (
+        pairs.join(nodes.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
+        .filter(differ <= int(share * 64 * len(seeds)))
+        .select("a", "b")
+    )
+    roots = stored(components(verified), "roots").withColumnRenamed("node", "_node")
+    linked = nodes.join(roots, F.col("node") == F.col("_node")).select("node", "root", "lowest")
+    named = linked.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    whole = stored(
+        nodes.join(linked.join(named, "root").select("node", "component_id"), "node", "left").select(
+            F.col("node").alias("_node"), F.coalesce("component_id", "lowest").alias("component_id")
+        ),
+        "whole",
+    )
+    return found.join(whole, F.xxhash64("fps") == F.col("_node")).select("doc_id", "component_id")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of every component, all columns unchanged.
+    """``docs`` with one document of every group of ``near_groups``, all columns unchanged.
 
-    The document that gives the component its id stays; ids are expected to be distinct.
+    The document that gives the group its id stays; ids are expected to be distinct.
     """
-    result = simhash_groups(docs, id_col, text_col)
+    result = near_groups(docs, id_col, text_col)
     gone = result.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias(id_col)
     )
