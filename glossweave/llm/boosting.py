@@ -10,16 +10,17 @@ class Boosted:
 
     def __init__(self, bias: float, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.bias, self.trees = bias, trees
+        self.feature, self.border, self.value = (np.stack([t[i] for t in trees]) for i in range(3))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias)
-        rows = np.arange(len(x))
-        for feature, border, value in self.trees:
-            at = np.zeros(len(x), np.int64)
-            while at.size and at[0] < len(feature):  # all rows are on the same level
-                at = 2 * at + 1 + (x[rows, feature[at]] > border[at])
-            out += value[at - len(feature)]
-        return out
+        """Log odds of each row; all trees go down one level at a time."""
+        tree = np.arange(len(self.trees))
+        rows = np.arange(len(x))[:, None]
+        inner = self.feature.shape[1]
+        at = np.zeros((len(x), len(tree)), np.int64)
+        for _ in range((inner + 1).bit_length() - 1):
+            at = 2 * at + 1 + (x[rows, self.feature[tree, at]] > self.border[tree, at])
+        return self.bias + self.value[tree, at - inner].sum(1)
 
 
 def fit(
