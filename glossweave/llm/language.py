@@ -30,7 +30,7 @@ ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.3
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_FLUSH = 200_000
+_FLUSH = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,18 +44,32 @@ def grams(word: str, order: int) -> Iterator[str]:
 
 
 def _count(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """Summed counts (lang, kind, token, n) of a task, passed on before they grow large."""
-    counts: Counter = Counter()
+    """Summed counts (lang, kind, token, n) of a task, passed on before they grow large.
+
+    Words are counted first, so that the n-grams of each are formed once.
+    """
+    words: dict[str, Counter] = {}
+    held = 0
     for lang, text in rows:
-        for word, n in Counter(words_of(text)).items():
-            counts[lang, 0, word] += n
-            for order in ORDERS:
+        own = words.setdefault(lang, Counter())
+        held -= len(own)
+        own.update(words_of(text))
+        held += len(own)
+        if held > _FLUSH:
+            yield from _with_grams(words)
+            words, held = {}, 0
+    yield from _with_grams(words)
+
+
+def _with_grams(words: dict[str, Counter]) -> Iterator[tuple]:
+    for lang, counts in words.items():
+        yield from ((lang, 0, word, n) for word, n in counts.items())
+        for order in ORDERS:
+            found: Counter = Counter()
+            for word, n in counts.items():
                 for gram in grams(word, order):
-                    counts[lang, order, gram] += n
-        if len(counts) > _FLUSH:
-            yield from ((*k, n) for k, n in counts.items())
-            counts.clear()
-    yield from ((*k, n) for k, n in counts.items())
+                    found[gram] += n
+            yield from ((lang, order, gram, n) for gram, n in found.items())
 
 
 class Model:
@@ -64,27 +78,30 @@ class Model:
     def __init__(self, langs: list[str], counts: list[tuple], totals: dict[tuple, int]):
         self.langs = langs
         at = {lang: i for i, lang in enumerate(langs)}
-        self.rows: dict[tuple[int, str], int] = {}
+        self.rows: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
+        size = 0
         for _, kind, token, _ in counts:
-            self.rows.setdefault((kind, token), len(self.rows))
-        raw = np.zeros((len(self.rows), len(langs)))
-        kinds = np.zeros(len(self.rows), int)
+            size += self.rows[kind].setdefault(token, size) == size
+        raw = np.zeros((size, len(langs)))
+        kinds = np.zeros(size, int)
         for lang, kind, token, n in counts:
-            raw[self.rows[kind, token], at[lang]] = n
-            kinds[self.rows[kind, token]] = kind
+            row = self.rows[kind][token]
+            raw[row, at[lang]] = n
+            kinds[row] = kind
         whole = np.array([[totals.get((lang, k), 0) for lang in langs] for k in range(max(ORDERS) + 1)])
         known = np.bincount(kinds, minlength=max(ORDERS) + 1)
         self.table = np.log((raw + SMOOTHING) / (whole[kinds] + SMOOTHING * (1 + known[kinds])[:, None]))
 
     def vector(self, word: str) -> np.ndarray:
         """Log frequency of a word in each language, or of its n-grams if it is unknown."""
-        row = self.rows.get((0, word))
+        row = self.rows[0].get(word)
         if row is not None:
             return self.table[row]
         for order in ORDERS:
-            found = [self.rows[order, g] for g in grams(word, order) if (order, g) in self.rows]
+            known = self.rows[order]
+            found = [known[g] for g in grams(word, order) if g in known]
             if found:
-                return self.table[found].mean(0)
+                return self.table[found].sum(0) / len(found)
         return np.zeros(len(self.langs))
 
 
