@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossweave.catalog import derived as d
 from glossweave.catalog.people import CURRENT_SQL, ROUTES_SQL, SESSIONS_SQL
 from glossweave.catalog.registry import query
+from glossweave.session import scratch_path, stored
 from glossweave.sources import read_event_stream
 from glossweave.streaming import operators as st
-from glossweave.streaming.sinks import append_result, routed_result, update_result
+from glossweave.streaming.sinks import append_result, routed_result, start_append, update_result
 
 # A window or session is emitted once the newest event is a delay past its end.
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL '1 hour'"
@@ -56,11 +57,48 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _zoneless(append_result(rows, "sessions"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+# Events in four blocks of days, each arriving when the one before has been worked off.  A
+# key is let through again once its last row let through is two hours (the delay and the
+# time it is kept) before the newest row of the block before.
+_BLOCKS, _BLOCK_DAYS = 4, 8
+
+
+def _dedup_sql() -> str:
+    steps = "".join(
+        f""", e{j} AS (SELECT * FROM f WHERE block = {j} AND NOT EXISTS (
+              SELECT 1 FROM e{j - 1} p WHERE p.user_id = f.user_id AND p.event_type = f.event_type
+                AND p.ts > (SELECT max(ts) FROM f WHERE block = {j - 1}) - INTERVAL '2 hours'))"""
+        for j in range(1, _BLOCKS)
+    )
+    every = " UNION ALL ".join(f"SELECT * FROM e{j}" for j in range(_BLOCKS))
+    return f"""WITH b AS (SELECT user_id, event_type, ts, least({_BLOCKS - 1},
+                 date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // {_BLOCK_DAYS}) AS block
+               FROM events),
+             f AS (SELECT user_id, event_type, block, min(ts) AS ts FROM b GROUP BY ALL),
+             e0 AS (SELECT * FROM f WHERE block = 0){steps}
+             SELECT user_id, event_type, block, ts FROM ({every})"""
+
+
+@query(_dedup_sql())
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table is one file and so one batch: one row per key."""
-    rows = st.stream_dedup(read_event_stream(spark, sf), ["user_id", "event_type"])
-    return append_result(rows.select("user_id", "event_type", "ts"), "dedup").drop("ts")
+    """First rows of each key and block of days, each twice, in the order of the blocks."""
+    events = d.table(spark, sf, "events")
+    day = F.to_date("ts")
+    start = events.agg(F.min(day).alias("_start"))
+    block = F.least(F.lit(_BLOCKS - 1), F.floor(F.date_diff(day, F.lit(start.first()[0])) / _BLOCK_DAYS).cast("int"))
+    first = events.groupBy("user_id", "event_type", block.alias("block")).agg(F.min(F.struct("ts", "event_id")).alias("m"))
+    rows = first.select(
+        F.col("m.event_id").alias("event_id"), F.col("m.ts").alias("ts"), "user_id", "event_type",
+        F.col("block").cast("double").alias("value"), F.lit("{}").alias("props"), "block",
+    )
+    rows = stored(rows.unionByName(rows), "blocks")
+    folder, out, log = (scratch_path(spark, name) for name in ("arrivals", "dedup", "dedup_log"))
+    for j in range(_BLOCKS):
+        rows.filter(F.col("block") == j).drop("block").write.mode("append").parquet(folder)
+        stream = st.stream_dedup(read_event_stream(spark, folder, "*.parquet"), ["user_id", "event_type"])
+        picked = stream.select("user_id", "event_type", F.col("value").cast("int").alias("block"), "ts")
+        start_append(picked, out, log).awaitTermination()
+    return _zoneless(spark.read.parquet(out))
 
 
 @query(
