@@ -130,9 +130,12 @@ def read_assets(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_event_stream(
-    spark: SparkSession, folder: str, glob: str = "events*.parquet", max_files: int | None = None
+    spark: SparkSession, folder: str, glob: str = "events*.parquet", max_files: int | None = 1000
 ) -> DataFrame:
-    """Event stream over Parquet files; ``ts`` becomes a timestamp so it can carry a watermark."""
+    """Event stream over Parquet files; ``ts`` becomes a timestamp so it can carry a watermark.
+
+    A batch takes at most ``max_files`` files, so a long backlog is worked off in many.
+    """
     reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -10,43 +10,45 @@ from pyspark.sql.streaming import StreamingQuery
 from glossweave.session import scratch_path
 
 
-def _prepare(stream: DataFrame) -> None:
-    # Sessions of one key are merged inside a task before they are shuffled.
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
+#: When batches run: all that is there and then stop, or a dictionary such as
+#: ``{"processingTime": "10 seconds"}`` for a query that goes on.
+AVAILABLE_NOW = {"availableNow": True}
 
 
-def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_append(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
     """Append finished rows to Parquet (exactly once through the sink's log)."""
-    _prepare(stream)
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def start_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_updates(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
     """Write each batch's changed rows to its own folder; a repeated batch overwrites it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    _prepare(stream)
     return (
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def start_routed(stream: DataFrame, path: str, checkpoint: str, target: str = "target") -> StreamingQuery:
+def start_routed(
+    stream: DataFrame, path: str, checkpoint: str, target: str = "target", trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
     """One folder per target and batch, written in one pass; a repeated batch overwrites its own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,11 +60,10 @@ def start_routed(stream: DataFrame, path: str, checkpoint: str, target: str = "t
             .parquet(path)
         )
 
-    _prepare(stream)
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
