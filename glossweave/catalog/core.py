@@ -183,10 +183,15 @@ def _script_sql() -> str:
     top = "greatest(" + ", ".join(f"n_{n}" for n, _, _ in prepare.SCRIPTS) + ")"
     dominant = " ".join(f"WHEN n_{n} = t THEN '{n}'" for n, _, _ in prepare.SCRIPTS)
     bucket = " ".join(f"WHEN n_{n} = t THEN '{lang}'" for n, _, lang in prepare.SCRIPTS)
-    return f"""SELECT * EXCLUDE (t), CASE WHEN t = 0 THEN 'none' {dominant} END AS dominant_script,
+    balance = " - ".join(
+        f"len(regexp_replace(text, '[^{letters}]', '', 'g'))" for letters in (prepare.SIMPLIFIED, prepare.TRADITIONAL)
+    )
+    return f"""SELECT * EXCLUDE (balance), CASE WHEN lang_bucket = 'zh' AND balance > 0 THEN 'simplified'
+          WHEN lang_bucket = 'zh' AND balance < 0 THEN 'traditional' END AS zh_variant
+        FROM (SELECT * EXCLUDE (t), CASE WHEN t = 0 THEN 'none' {dominant} END AS dominant_script,
           CASE WHEN t = 0 THEN 'none' WHEN n_hiragana + n_katakana > 0
                 AND greatest(n_hiragana, n_katakana, n_han) = t THEN 'ja' {bucket} END AS lang_bucket
-        FROM (SELECT *, {top} AS t FROM (SELECT doc_id, {counts} FROM documents))"""
+        FROM (SELECT *, {top} AS t FROM (SELECT doc_id, {counts}, {balance} AS balance FROM documents)))"""
 
 
 @query(_script_sql())

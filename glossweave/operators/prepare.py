@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.text import sanitize
 from glossweave.plans.scale import HOT_ROWS, running_sum
@@ -40,6 +40,10 @@ SCRIPTS = [
     ("hangul", "Hangul", "ko"),
 ]
 
+# Common letters that only simplified, or only traditional, Chinese has.
+SIMPLIFIED = "们这个来时为说国会对发经过现实开关见问间题学习语话读书写车东门马鸟鱼龙龟亲爱听买卖头风飞电脑网边还进远运动点热气汉译"
+TRADITIONAL = "們這個來時為說國會對發經過現實開關見問間題學習語話讀書寫車東門馬鳥魚龍龜親愛聽買賣頭風飛電腦網邊還進遠運動點熱氣漢譯"
+
 SENTENCE_END = r"[.!?。！？…][\"'”’)\]」』]*$"
 
 
@@ -159,6 +163,8 @@ def script_profile(df: DataFrame, col: str = "text") -> DataFrame:
     """Add letters per script (``n_<script>``), ``dominant_script`` and ``lang_bucket``.
 
     Kana decide for Japanese even where Han letters prevail, since Chinese text has none.
+    ``zh_variant`` tells simplified from traditional Chinese by letters that only one of
+    them has; it is null unless the bucket is Chinese and one kind prevails.
     """
     # Scripts share no letters, so each is counted in what the earlier ones left over.
     out = df.withColumn("_rest", F.col(col))
@@ -179,7 +185,14 @@ def script_profile(df: DataFrame, col: str = "text") -> DataFrame:
     for name, _, lang in SCRIPTS:
         dominant = dominant.when(F.col(f"n_{name}") == top, name)
         bucket = bucket.when(F.col(f"n_{name}") == top, lang)
-    return out.withColumn("dominant_script", dominant).withColumn("lang_bucket", bucket)
+    out = out.withColumn("dominant_script", dominant).withColumn("lang_bucket", bucket)
+
+    def among(letters: str) -> Column:
+        return F.length(col) - F.length(F.translate(col, letters, ""))
+
+    balance = among(SIMPLIFIED) - among(TRADITIONAL)
+    variant = F.when(balance > 0, "simplified").when(balance < 0, "traditional")
+    return out.withColumn("zh_variant", F.when(F.col("lang_bucket") == "zh", variant))
 
 
 def dedup_content(df: DataFrame, col: str, key: str) -> DataFrame:

@@ -123,3 +123,9 @@ def test_honorifics_of_both_scripts(spark):
     assert got == [("Mary-Jane", "san"), ("Bo", "sama"), ("明", "さん"), ("田中", "先生"), ("マリア", "ちゃん")]
     odd = terms.scan_honorifics(df, ["b.c", "sa("], japanese=[])
     assert odd.count() == 0
+
+
+def test_chinese_variants(spark):
+    rows = [("我们在学校学习汉语",), ("我們在學校學習漢語",), ("中文",), ("日本の学校",), ("plain",)]
+    got = prepare.script_profile(spark.createDataFrame(rows, "text string")).collect()
+    assert [r.zh_variant for r in got] == ["simplified", "traditional", None, None, None]
