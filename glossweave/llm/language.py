@@ -110,7 +110,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.room = max(1024, (1 << 22) // max(1, len(model.langs)))
+        self.room = max(1024, (1 << 21) // max(1, len(model.langs)))
         self._forget()
 
     def _forget(self) -> None:
@@ -193,7 +193,8 @@ def identify(
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(each: Iterable[tuple]) -> Iterator[tuple]:
-        scorer = Scorer(sent.value)
+        # a worker that runs several tasks keeps the words it has seen with the model
+        scorer = sent.value.scorer = getattr(sent.value, "scorer", None) or Scorer(sent.value)
         for key, text in each:
             yield key, *scorer.predict(text)
 
