@@ -169,68 +169,119 @@ def simhash_groups(
     )
 
 
-def _leaders(members: DataFrame, radius: int) -> DataFrame:
-    """Per (view, half): array of links to leaders, and the leaders, of a group's fingerprints.
+def _differ(a: Column, b: Column, views: int) -> Column:
+    """Bits in which two lists of fingerprints differ."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(views)), F.lit(0))
 
-    In ascending order, a fingerprint within ``radius`` bits of a leader is linked to it,
-    and any other becomes a leader.  A group thus gives one link per member, never all pairs.
+
+def _leaders(members: DataFrame, views: int, limit: int) -> DataFrame:
+    """Per (view, half): the leaders of a group's nodes, and the links to them.
+
+    In ascending order, a node within ``limit`` bits of a leader, over all its
+    fingerprints, gives way to it, and any other becomes a leader.  Each node that gives
+    way is linked to every leader so near, so a group never gives all its pairs.
     """
-    leaders = F.array().cast("array<bigint>")
-    links = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def step(acc: Column, fp: Column) -> Column:
-        near = F.filter(acc["leaders"], lambda x: F.bit_count(x.bitwiseXOR(fp)) <= radius)
-        found = F.size(near) > 0
-        link = F.struct(F.get(near, F.lit(0)).alias("a"), fp.alias("b"))
-        return F.struct(
-            F.when(found, acc["leaders"]).otherwise(F.concat(acc["leaders"], F.array(fp))).alias("leaders"),
-            F.when(found, F.concat(acc["links"], F.array(link))).otherwise(acc["links"]).alias("links"),
-        )
 
-    start = F.struct(leaders.alias("leaders"), links.alias("links"))
-    keys = [c for c in members.columns if c != "fp"]
-    return members.groupBy(*keys).agg(F.array_sort(F.collect_list("fp")).alias("fps")).select(
-        "view", "half", F.aggregate("fps", start, step).alias("met")
+    def near(a: Column, b: Column) -> Column:
+        return _differ(a["fps"], b["fps"], views) <= limit
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.exists(acc, lambda led: near(led, x)), acc).otherwise(F.concat(acc, F.array(x)))
+
+    def with_links(leaders: Column) -> Column:
+        def to_leaders(x: Column) -> Column:
+            found = F.filter(leaders, lambda led: (led["node"] != x["node"]) & near(led, x))
+            return F.transform(found, lambda led: F.struct(led["node"].alias("a"), x["node"].alias("b")))
+
+        return F.struct(leaders.alias("leaders"), F.flatten(F.transform("nodes", to_leaders)).alias("links"))
+
+    start = F.array().cast("array<struct<node:bigint,fps:array<bigint>>>")
+    keys = [c for c in members.columns if c not in ("node", "fps")]
+    # as the only element of an array the leaders are computed once for all nodes
+    met = F.element_at(F.transform(F.array(F.aggregate("nodes", start, step)), with_links), 1)
+    return (
+        members.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("node", "fps"))).alias("nodes"))
+        .select("view", "half", met.alias("met"))
     )
 
 
+def _block_pairs(members: DataFrame, views: int, limit: int) -> DataFrame:
+    """Links (a, b) between the nodes of a group of ``n``, compared block by block."""
+    blocks = F.ceil(F.col("n") / FOLD).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = members.select("view", "half", "node", "fps", blocks.alias("blocks"), own.alias("own"))
+    left = rows.select(
+        "view", "half", F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("own").alias("i"),
+        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"),
+    )
+    right = rows.select(
+        "view", "half", F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("own").alias("j"),
+        F.explode(F.sequence(F.lit(0), "own")).alias("i"),
+    )
+    once = (left["i"] < left["j"]) | (F.col("a") < F.col("b"))
+    same = [left[c] == right[c] for c in ("view", "half", "i", "j")]
+    close = _differ(F.col("fa"), F.col("fb"), views) <= limit
+    return left.join(right, same[0] & same[1] & same[2] & same[3] & once & close).select("a", "b")
+
+
 def wide_links(fps: DataFrame, radius: int = WIDE_BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) up to ``radius`` (at most five) bits.
+    """Links (a, b) between distinct fingerprints (column fp) up to ``radius`` (at most five) bits."""
+    return node_links(fps.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 0, 1, radius)
+
 
-    Of five differing bits, one 32-bit half holds two at most, so both halves are joined
-    through the popcount grid of their 2-bit segments.  Fingerprints that share a half
-    meet only their group's leaders, and only leaders enter the join: a large group of
-    near copies gives a number of links in proportion to its size.  The links connect
-    whatever leaders and members connect; they are not all pairs.
+def node_links(nodes: DataFrame, at: int, views: int, limit: int, radius: int = WIDE_BITS) -> DataFrame:
+    """Links (a, b) between nodes (node, fps) up to ``limit`` bits over all ``views`` fingerprints.
+
+    Nodes are compared if they share a half of fingerprint ``at`` or differ in at most
+    ``radius`` (at most five) of its bits.  Of five differing bits, one 32-bit half holds
+    two at most, so both halves are joined through the popcount grid of their 2-bit
+    segments.  A node gives way to a leader of its half only if the two are linked; all
+    others enter the join.  A large group of near copies gives a number of links in
+    proportion to its size.  The links connect whatever leaders and members connect;
+    they are not all pairs.
     """
+    fp = F.col("fps")[at]
     halves = F.explode(
         F.array(
-            F.struct(F.lit(0).cast("long").alias("view"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
-            F.struct(F.lit(1).cast("long").alias("view"), F.shiftrightunsigned("fp", 32).alias("half")),
+            F.struct(F.lit(0).cast("long").alias("view"), fp.bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
+            F.struct(F.lit(1).cast("long").alias("view"), F.shiftrightunsigned(fp, 32).alias("half")),
         )
     ).alias("h")
-    members = stored(fps.select("fp", halves).select("fp", "h.view", "h.half"), "halves")
+    members = stored(nodes.select("node", "fps", halves).select("node", "fps", "h.view", "h.half"), "halves")
     links = []
+    before = None
     while True:
         # groups of many members are split, and their leaders meet in the next round
-        sizes = members.groupBy("view", "half").agg(F.count("fp").alias("n")).filter(f"n > {FOLD}")
+        sizes = members.groupBy("view", "half").agg(F.count("node").alias("n")).filter(f"n > {FOLD}")
         crowded = stored(sizes, "crowded")
         largest = crowded.agg(F.max("n")).first()[0] or 0
+        if largest and before and 2 * largest > before:
+            # a crowd of unlike nodes: all are compared
+            links.append(_block_pairs(members.join(crowded, ["view", "half"]), views, limit))
+            break
         split = members
         if largest:
             parts = F.ceil(F.coalesce("n", F.lit(1)) / (FOLD // 2))
             split = members.join(crowded, ["view", "half"], "left").select(
-                "fp", "view", "half", F.pmod(F.xxhash64("fp"), parts).alias("part")
+                "node", "fps", "view", "half", F.pmod(F.xxhash64("node"), parts).alias("part")
             )
-        met = stored(_leaders(split, radius), "leaders")
+        met = stored(_leaders(split, views, limit), "leaders")
         links.append(met.select(F.inline("met.links")))
-        members = met.select(F.explode("met.leaders").alias("fp"), "view", "half")
+        members = met.select(F.explode("met.leaders").alias("led"), "view", "half").select("led.*", "view", "half")
         if not largest:
             break
-        if members.groupBy("view", "half").count().agg(F.max("count")).first()[0] >= largest:
-            break  # a crowd of unlike fingerprints: the join below compares them all
-    cells = members.select("fp", (cell_of(F.col("half"), 2) + F.col("view") * (1 << 50)).alias("cell"))
-    return union_all([*links, _grid_join(cells, radius)])
+        before = largest
+    cells = members.select(
+        fp.alias("fp"), (cell_of(F.col("half"), 2) + F.col("view") * (1 << 50)).alias("cell")
+    ).distinct()
+    holders = members.select(fp.alias("fp"), "node", "fps").distinct()
+    a = holders.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("fps").alias("fa"))
+    b = holders.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("fps").alias("fb"))
+    close = _differ(F.col("fa"), F.col("fb"), views) <= limit
+    near = _grid_join(cells, radius).join(a, "a")
+    met = near.join(b, (near["b"] == b["b"]) & close).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return union_all([*links, met])
 
 
 def near_groups(
@@ -245,8 +296,8 @@ def near_groups(
     """One row per input row: doc_id, component_id (the smallest id of the group).
 
     The wider form of ``simhash_groups`` for removing near copies, with one fingerprint
-    per seed.  Pairs of which one fingerprint differs in ``radius`` bits or fewer are
-    compared by all of them, and linked if at most ``share`` of the bits differ; with
+    per seed.  Pairs of which one fingerprint differs in ``radius`` bits or fewer, or
+    shares a half, are compared by all of them, and linked if at most ``share`` of the bits differ; with
     shingles of three words that is about a similarity of 0.8 on shingles of five.
     Blank texts are linked to each other.  Nulls, repeated rows and empty tables are
     treated as there.
@@ -265,32 +316,15 @@ def near_groups(
         ),
         "fps",
     )
-    # a node is a distinct list of fingerprints; fingerprints of equal value share a star
+    # a node is a distinct list of fingerprints
     nodes = stored(
         found.groupBy("fps").agg(F.min("doc_id").alias("lowest")).withColumn("node", F.xxhash64("fps")), "nodes"
     )
-    links = []
-    for i in range(len(seeds)):
-        own = nodes.select(F.col("fps")[i].alias("fp"), "node")
-        first = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "first")
-        links.append(own.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-        near = wide_links(first.select("fp"), radius)
-        links.append(
-            near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a")
-            .join(first.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
-            .select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        )
+    views = len(seeds)
+    limit = int(share * 64 * views)
+    links = [node_links(nodes.select("node", "fps"), i, views, limit, radius) for i in range(views)]
     pairs = stored(union_all(links).distinct(), "pairs")
-    differ = F.lit(0)
-    for i in range(len(seeds)):
-        differ = differ + F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i]))
-    verified = (
-        pairs.join(nodes.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
-        .filter(differ <= int(share * 64 * len(seeds)))
-        .select("a", "b")
-    )
-    roots = stored(components(verified), "roots").withColumnRenamed("node", "_node")
+    roots = stored(components(pairs), "roots").withColumnRenamed("node", "_node")
     linked = nodes.join(roots, F.col("node") == F.col("_node")).select("node", "root", "lowest")
     named = linked.groupBy("root").agg(F.min("lowest").alias("component_id"))
     whole = stored(

@@ -78,3 +78,41 @@ def test_near_copies_meet_and_others_do_not(spark):
 def test_many_copies_of_one_text(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text for all of us here").alias("text"))
     assert [r[0] for r in near_groups(docs).select("component_id").distinct().collect()] == [0]
+
+
+def three(*values):
+    """One node of three fingerprints; its id is given."""
+    node, *fps = values
+    return node, [signed(f) for f in fps]
+
+
+@pytest.mark.parametrize("fold", [400, 2])
+def test_members_of_a_rejecting_leader_meet(spark, monkeypatch, fold):
+    # 1 sorts first and shares a half with 2 and 3, but only 2 and 3 are near over all 192 bits
+    monkeypatch.setattr(simhash, "FOLD", fold)
+    high = lambda n, at=0: sum(1 << (32 + i) for i in range(at, at + n))
+    rows = [
+        three(1, 7, 0, 0),
+        three(2, 7 ^ high(5), high(10), high(10)),
+        three(3, 7 ^ high(4) ^ high(2, 8), high(16), high(16)),
+    ]
+    assert [sum(apart(a, b) for a, b in zip(rows[i][1], rows[j][1])) for i, j in ((0, 1), (0, 2), (1, 2))] == [25, 38, 15]
+    nodes = spark.createDataFrame(rows, "node long, fps array<long>")
+    for at in range(3):
+        assert {(r.a, r.b) for r in simhash.node_links(nodes, at, 3, 23).distinct().collect()} <= {(2, 3), (3, 2)}
+    found = simhash.node_links(nodes, 0, 3, 23).distinct().collect()
+    assert {frozenset(r) for r in found} == {frozenset((2, 3))}
+
+
+@pytest.mark.parametrize("fold", [400, 16])
+def test_a_crowd_of_one_fingerprint_that_is_unlike_elsewhere(spark, monkeypatch, fold):
+    # all share the first fingerprint; the others pair them off
+    monkeypatch.setattr(simhash, "FOLD", fold)
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        second, third = rng.getrandbits(64), rng.getrandbits(64)
+        rows += [three(2 * i, 5, second, third), three(2 * i + 1, 5, second ^ (0x15 << 40), third ^ (0x7 << 20) ^ (0x7 << 50))]
+    nodes = spark.createDataFrame(rows, "node long, fps array<long>")
+    got = {frozenset(r) for r in simhash.node_links(nodes, 0, 3, 23).collect()}
+    assert got == {frozenset((2 * i, 2 * i + 1)) for i in range(60)}
