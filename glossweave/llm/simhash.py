@@ -20,7 +20,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossweave.llm.common import drop_rows, map_rows, type_of, union_all
+from glossweave.llm.common import fresh, map_rows, text_of, type_of, union_all
 from glossweave.llm.graph import components
 from glossweave.session import stored
 
@@ -303,22 +303,45 @@ def near_groups(
     treated as there.
     """
 
+    return _near_rows(docs, id_col, text_col, shingle, seeds, radius, share).select("doc_id", "component_id")
+
+
+def _near_rows(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    shingle: int = 3,
+    seeds: tuple[int, ...] = (42, 43, 44),
+    radius: int = WIDE_BITS,
+    share: float = WIDE_SHARE,
+) -> DataFrame:
+    """One row per input row: doc_id, row_hash (of the text), component_id, stays.
+
+    ``stays`` marks the row whose id gives the group its id; of several texts of that id
+    in one group, the one with the smallest hash.  Rows that repeat both are marked alike.
+    """
+
     def rows(each: Iterable[tuple]) -> Iterator[tuple]:
-        for key, text in each:
-            yield key, [fingerprint(text, shingle, seed) for seed in seeds]
+        for key, text, row_hash in each:
+            yield key, row_hash, [fingerprint(text, shingle, seed) for seed in seeds]
 
     found = stored(
         map_rows(
             docs,
-            [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")],
-            f"doc_id {type_of(docs, id_col)}, fps array<long>",
+            [
+                F.col(id_col).alias("doc_id"),
+                F.col(text_col).cast("string").alias("text"),
+                F.xxhash64(text_of(docs, text_col)).alias("row_hash"),
+            ],
+            f"doc_id {type_of(docs, id_col)}, row_hash long, fps array<long>",
             rows,
         ),
         "fps",
     )
-    # a node is a distinct list of fingerprints
+    # a node is a distinct list of fingerprints; a null id comes after all others
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
     nodes = stored(
-        found.groupBy("fps").agg(F.min("doc_id").alias("lowest")).withColumn("node", F.xxhash64("fps")), "nodes"
+        found.groupBy("fps").agg(F.min(row).alias("lowest")).withColumn("node", F.xxhash64("fps")), "nodes"
     )
     views = len(seeds)
     limit = int(share * 64 * views)
@@ -326,23 +349,41 @@ def near_groups(
     pairs = stored(union_all(links).distinct(), "pairs")
     roots = stored(components(pairs), "roots").withColumnRenamed("node", "_node")
     linked = nodes.join(roots, F.col("node") == F.col("_node")).select("node", "root", "lowest")
-    named = linked.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    named = linked.groupBy("root").agg(F.min("lowest").alias("first"))
     whole = stored(
-        nodes.join(linked.join(named, "root").select("node", "component_id"), "node", "left").select(
-            F.col("node").alias("_node"), F.coalesce("component_id", "lowest").alias("component_id")
+        nodes.join(linked.join(named, "root").select("node", "first"), "node", "left").select(
+            F.col("node").alias("_node"), F.coalesce("first", "lowest").alias("first")
         ),
         "whole",
     )
-    return found.join(whole, F.xxhash64("fps") == F.col("_node")).select("doc_id", "component_id")
+    first = F.col("first")
+    return found.join(whole, F.xxhash64("fps") == F.col("_node")).select(
+        "doc_id",
+        "row_hash",
+        first["doc_id"].alias("component_id"),
+        (F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("row_hash") == first["row_hash"])).alias("stays"),
+    )
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every group of ``near_groups``, all columns unchanged.
 
-    The document that gives the group its id stays; ids are expected to be distinct.
+    The document that gives the group its id stays.  Rows are told apart by id and text,
+    so a null id or one with several texts is decided text by text; of rows that repeat
+    both, one stays.
     """
-    result = near_groups(docs, id_col, text_col)
-    gone = result.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(id_col)
-    )
-    return drop_rows(docs, gone, id_col)
+    result = stored(_near_rows(docs, id_col, text_col), "near")
+    key, other, own = (fresh(docs, name) for name in ("key", "other", "row_hash"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(key), F.col("row_hash").alias(other)).distinct()
+
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(other))
+    hashed = docs.withColumn(own, F.xxhash64(text_of(docs, text_col)))
+    kept = hashed.join(pairs(result.filter("not stays")), same, "left_anti")
+    repeated = result.filter("stays").groupBy("doc_id", "row_hash").count().filter("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.join(pairs(repeated), same, "left_anti").unionByName(
+            hashed.join(pairs(repeated), same, "left_semi").dropDuplicates([id_col, own])
+        )
+    return kept.drop(own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossweave.llm import simhash
 from glossweave.llm.graph import components
-from glossweave.llm.simhash import near_groups, wide_links
+from glossweave.llm.simhash import keep_representatives, near_groups, wide_links
 
 WORDS = [f"word{i}" for i in range(400)]
 
@@ -116,3 +116,20 @@ def test_a_crowd_of_one_fingerprint_that_is_unlike_elsewhere(spark, monkeypatch,
     nodes = spark.createDataFrame(rows, "node long, fps array<long>")
     got = {frozenset(r) for r in simhash.node_links(nodes, 0, 3, 23).collect()}
     assert got == {frozenset((2 * i, 2 * i + 1)) for i in range(60)}
+
+
+def test_representatives_are_chosen_row_by_row(spark):
+    rng = random.Random(5)
+    own = [" ".join(rng.choices(WORDS, k=200)) for _ in range(6)]
+    near = [t + " more" for t in own]
+    rows = [
+        (1, own[0]), (None, near[0]),  # a null id in a group with another id
+        (None, own[1]),  # a null id with a text of its own
+        (None, own[2]), (None, near[2]),  # null ids that form a group
+        (2, own[3]), (3, near[3]), (3, own[4]),  # an id with a near copy and a text of its own
+        (4, own[5]), (4, near[5]), (4, own[5]),  # an id in one group with itself, and a repeated row
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in keep_representatives(docs).collect()]
+    group = {t: i for i, pair in enumerate(zip(own, near)) for t in pair}
+    assert sorted((group[t], i or 0) for i, t in got) == [(0, 1), (1, 0), (2, 0), (3, 2), (4, 3), (5, 4)]
