@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glossweave.llm.boosting import Boosted, fit
 from glossweave.llm.common import map_rows, share_below, type_of
+from glossweave.session import stored
 
 #: Pages used for fitting, at most about this many.
 FIT_PAGES = 300
@@ -296,23 +297,38 @@ def decode(page: Page, logit: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", fit_pages: int = FIT_PAGES) -> Boosted | None:
-    """Fit on about ``fit_pages`` pages drawn by hash; None if none of them marks an article."""
-    n = pages.count()
+    """Fit on about ``fit_pages`` pages that mark their article, drawn by hash; None if there is none.
+
+    Only pages that hold such a tag are counted and drawn.  The tag may stand in a comment
+    or script; if too few of the drawn pages mark an article, more are drawn, up to all.
+    """
+    holding = pages.filter(F.col(html_col).cast("string").rlike(r"(?i)<(?:article|main)\b"))
+    n = holding.count()
     if not n:
         return None
-    drawn = pages.filter(share_below(F.col(id_col).cast("string"), min(1.0, fit_pages / n)))
+    # pages without an id are drawn by their content
+    draw = F.coalesce(F.col(id_col).cast("string"), F.xxhash64(F.col(html_col).cast("string")).cast("string"))
 
     def label(each: Iterable[tuple]) -> Iterator[tuple]:
         for key, html in each:
             for at, (row, y, w) in enumerate(examples(html)):
                 yield str(key), at, row, y, w
 
-    nodes = map_rows(
-        drawn,
-        [F.col(id_col).alias("key"), F.col(html_col).cast("string").alias("html")],
-        "key string, at int, x array<double>, y double, w double",
-        label,
-    )
+    part = min(1.0, fit_pages / n)
+    while True:
+        nodes = stored(
+            map_rows(
+                holding.filter(share_below(draw, part)),
+                [draw.alias("key"), F.col(html_col).cast("string").alias("html")],
+                "key string, at int, x array<double>, y double, w double",
+                label,
+            ),
+            "nodes",
+        )
+        labelled = nodes.filter("at = 0").count()
+        if part == 1.0 or labelled >= fit_pages / 2:
+            break
+        part = min(1.0, part * (max(2.0, fit_pages / labelled) if labelled else 10.0))
 
     def learn(each: Iterable[tuple]) -> Iterator[tuple]:
         rows = sorted(each)

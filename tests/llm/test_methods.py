@@ -320,3 +320,17 @@ def test_decoding_is_consistent_and_best(parts, seed):
 def test_hidden_and_deep_pages(trees):
     deep = "<b>" * 3000 + "<div>" * 3000 + "word" + "</span>" * 3000
     assert html_text.page_text(deep, None) == "word"
+
+
+def test_rare_marked_pages_are_found(spark):
+    # 3 of 600 pages mark their article, 300 only name the tag in a comment
+    words = "The long story goes on, as told by those who were there that day. "
+    marked = f"<body><nav><a>Home</a></nav><article><p>{words * 3}</p><p>{words}</p></article></body>"
+    rows = [
+        (i, marked if i % 200 == 7 else f"<body>{'<!-- <article> -->' if i % 2 else ''}<p>menu</p></body>")
+        for i in range(600)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert html_text.train(pages, fit_pages=2) is not None
+    assert html_text.train(pages.filter("page_id % 200 <> 7"), fit_pages=2) is None
+    assert html_text.train(pages.selectExpr("cast(null as long) page_id", "html"), fit_pages=2) is not None
