@@ -10,9 +10,11 @@ from glossweave.llm import html_text, language, licenses, personal_data, url_fil
 from glossweave.llm.common import table
 from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
+from glossweave.llm.fill_middle import fill_in_middle_digest
 from glossweave.llm.mixing import mix
 from glossweave.llm.quality import quality_scores
 from glossweave.llm.simhash import simhash_groups
+from glossweave.llm.turn_trie import conversation_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -85,8 +87,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two drawn boundaries and reordered to fill in its middle."""
+    return fill_in_middle_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -143,6 +152,58 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), {_A_TO_Z}) AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
+    "op12_fill_middle": f"""
+        WITH t AS (
+          SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+            {", ".join(f"('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))}
+          FROM documents),
+        cut AS (
+          SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+        parts AS (
+          SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+            ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+          sha256(text) AS restored_sha256 FROM parts""",
+    "op13_turn_trie": """
+        WITH heads AS (
+          SELECT c, xor(4294967295, list_reduce(
+              list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h
+          FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+        own AS (
+          SELECT conv_id AS c, length(coalesce(text, '')) AS n,
+            substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS tid,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT c, c - c % 100 AS base, h FROM own JOIN heads USING (c)),
+        rebuilt AS (
+          SELECT c, pos, tid, n FROM own JOIN heads USING (c) WHERE pos > h
+          UNION ALL SELECT ids.c, own.pos, tid, n FROM ids JOIN own ON own.c = ids.base AND own.pos <= ids.h),
+        seqs AS (
+          SELECT ids.c, coalesce(s, []) AS s, coalesce(lens, []) AS lens FROM ids LEFT JOIN (
+            SELECT c, list(tid ORDER BY pos) AS s, list(n ORDER BY pos) AS lens FROM rebuilt GROUP BY 1) USING (c)),
+        prefixes AS (
+          SELECT c, d, list_aggregate(s[1:d], 'string_agg', ',') AS path, d = len(s) AS ends, coalesce(lens[d], 0) AS n,
+            CASE WHEN d > 0 THEN coalesce(list_aggregate(s[1:d - 1], 'string_agg', ','), '') END AS up
+          FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+        nodes AS (
+          SELECT d, coalesce(path, '') AS path, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+          FROM prefixes GROUP BY 1, 2),
+        kids AS (SELECT d - 1 AS d, up AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+        full_nodes AS (SELECT *, coalesce(n_children, 0) AS k, (n_convs - 1) * n AS own FROM nodes LEFT JOIN kids USING (d, path)),
+        sums AS (
+          SELECT p.d, coalesce(p.path, '') AS path, sum(own) AS saved, count(*) FILTER (k = 0) AS leaves
+          FROM full_nodes f JOIN seqs ON seqs.c = f.conv_id
+            JOIN prefixes p ON p.c = f.conv_id AND p.d <= f.d GROUP BY 1, 2)
+        SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.k AS n_children,
+          leaves AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+        FROM full_nodes f JOIN sums USING (d, path) LEFT JOIN nodes u ON u.d = f.d - 1 AND u.path = f.up""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op3_personal_data, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op3_personal_data, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup, op12_fill_middle, op13_turn_trie)}
