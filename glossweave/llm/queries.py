@@ -11,6 +11,7 @@ from glossweave.llm.common import table
 from glossweave.llm.decontaminate import contaminated
 from glossweave.llm.exact_dedup import exact_dedup
 from glossweave.llm.fill_middle import fill_in_middle_digest
+from glossweave.llm.hyperminhash import similarity_groups
 from glossweave.llm.mixing import mix
 from glossweave.llm.quality import quality_scores
 from glossweave.llm.simhash import simhash_groups
@@ -87,6 +88,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike by 0.8 or more."""
+    return similarity_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut at two drawn boundaries and reordered to fill in its middle."""
     return fill_in_middle_digest(table(spark, sf_dir, "documents"))
@@ -152,6 +158,21 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), {_A_TO_Z}) AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
+    "op11_hyperminhash": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        sets AS MATERIALIZED (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+            ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+        items AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS MATERIALIZED (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(doc_id, r) AS (
+          SELECT doc_id, doc_id FROM sets
+          UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+        SELECT sets.doc_id, len(s) AS n_shingles, c AS component_id, sets.doc_id = c AS kept
+        FROM sets JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)""",
     "op12_fill_middle": f"""
         WITH t AS (
           SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
@@ -206,4 +227,4 @@ ORACLES = {
         FROM full_nodes f JOIN sums USING (d, path) LEFT JOIN nodes u ON u.d = f.d - 1 AND u.path = f.up""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op3_personal_data, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup, op12_fill_middle, op13_turn_trie)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_decontamination, op3_personal_data, op4_mixing, op5_url_filter, op6_quality, op7_simhash, op8_licenses, op9_html_text, op10_exact_dedup, op11_hyperminhash, op12_fill_middle, op13_turn_trie)}
