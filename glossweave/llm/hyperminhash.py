@@ -30,8 +30,9 @@ from glossweave.session import stored
 REGISTERS, MANTISSA = 256, 10
 #: 42 bands of 6 registers: a pair of similarity 0.8 shares one with a probability of 0.999997.
 BANDS, ROWS = 42, 6
-#: An estimate may fall short of the similarity by this much; its deviation is about 0.025.
-SLACK = 0.15
+#: An estimate may fall short of the similarity by this much, four times its deviation for
+#: sets of ``LARGE`` shingles; smaller sets also lose shingles that share a bucket.
+SLACK, SMALL_SLACK, LARGE = 0.1, 0.15, 256
 #: Members of a band compared as one block, and the best partners a member proposes at first.
 BLOCK, PARTNERS = 1000, 8
 
@@ -101,6 +102,12 @@ def estimate(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_
     return (agree - chance) / (1 - chance)
 
 
+def likely(estimates: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, share: float) -> np.ndarray:
+    """Whether pairs with these estimates may be as similar as ``share``."""
+    slack = np.where(np.minimum(left_sizes, right_sizes) < LARGE, SMALL_SLACK, SLACK)
+    return estimates >= share - slack
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
     """(doc_id, row_hash, n_shingles, digest, registers); the last two are null for an empty set.
 
@@ -132,15 +139,16 @@ def _digest(shingles: set[bytes]) -> bytes:
     return hashlib.blake2b(b"\n".join(sorted(shingles)), digest_size=16).digest()
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose estimate is at least ``least``."""
+def _likely(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose estimate allows a similarity of ``share``."""
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("registers").alias(f"r{name}"), F.col("n").alias(f"n{name}"))
 
     def rows(each: Iterable[tuple]) -> Iterator[tuple]:
         for a, b, ra, rb, na, nb in each:
-            if estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), np.array(na), np.array(nb)) >= least:
+            close = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), np.array(na), np.array(nb))
+            if likely(close, na, nb, share):
                 yield a, b
 
     met = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -183,12 +191,12 @@ def _verified(
     return map_rows(both, [F.col(c) for c in both.columns], "a long, b long", check)
 
 
-def _apart(mixed: DataFrame, least: float, most: int) -> DataFrame:
+def _apart(mixed: DataFrame, share: float, most: int | None) -> DataFrame:
     """(a, b, more): likely pairs of one band whose members are not connected yet.
 
     ``mixed`` has rows (key, node, root, n_band, registers, n).  A band is cut into blocks, and
     each pair of blocks is compared by one task, which gives the ``most`` best partners
-    of a member; ``more`` tells that there were others.
+    of a member (None for all); ``more`` tells that there were others.
     """
     blocks = F.ceil(F.col("n_band") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -213,9 +221,10 @@ def _apart(mixed: DataFrame, least: float, most: int) -> DataFrame:
                     continue
                 close = estimate(registers[y], registers[x], n[y], n[x])
                 best = np.argsort(-close, kind="stable")
-                best = best[close[best] >= least]
+                best = best[likely(close, n[y], n[x], share)[best]]
+                more = most is not None and len(best) > most
                 for z in y[best[:most]]:
-                    yield min(node[x], node[z]).item(), max(node[x], node[z]).item(), len(best) > most
+                    yield min(node[x], node[z]).item(), max(node[x], node[z]).item(), more
 
     return map_rows(met, [F.col(c) for c in met.columns], "a long, b long, more boolean", compare)
 
@@ -233,7 +242,7 @@ def similarity_groups(
     read whole; a task holds the sets of two at a time.  An empty table gives no rows;
     other columns are ignored.
     """
-    least = percent / 100 - SLACK
+    share = percent / 100
     found = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
     sets = stored(
@@ -253,24 +262,24 @@ def similarity_groups(
     sizes = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("node").alias("n_band")).filter("n_band > 1")
     met = stored(members.join(sizes, "key").select("key", "node", "lead", "n_band"), "met")
     stars = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    seen = stored(_likely(stars, sets, least), "likely")
+    seen = stored(_likely(stars, sets, share), "likely")
     links = stored(_verified(seen, sets, docs, id_col, text_col, shingle, percent), "links")
-    most = PARTNERS
-    while True:
+    # the best partners of a member connect most of what belongs together, and a second
+    # round looks at all others that are still apart
+    for most in (PARTNERS, None):
         # bands whose members are not all connected, though more than two: compare those still apart
         roots = components(links).select(F.col("node").alias("_node"), "root")
         placed = met.filter("n_band > 2").join(roots, F.col("node") == F.col("_node"), "left")
         placed = stored(placed.select("key", "node", "n_band", F.coalesce("root", "node").alias("root")), "placed")
         open_bands = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
         mixed = placed.join(open_bands.select("key"), "key", "left_semi").join(sets.select("node", "registers", "n"), "node")
-        proposed = stored(_apart(mixed, least, most), "apart")
+        proposed = stored(_apart(mixed, share, most), "apart")
         new = stored(proposed.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
             links = stored(links.unionByName(_verified(new, sets, docs, id_col, text_col, shingle, percent)), "links")
             seen = stored(seen.unionByName(new), "seen")
         if proposed.filter("more").isEmpty():
             break
-        most *= 16
     roots = components(links).select(F.col("node").alias("_node"), "root")
     linked = sets.join(roots, F.col("node") == F.col("_node"), "left").select(
         "digest", "lowest", F.coalesce("root", "node").alias("root")
