@@ -124,6 +124,30 @@ def reading_order_ltr(spark: SparkSession, sf: str) -> DataFrame:
     return layout.reading_order(assign_to_panels(spark, sf), "ltr")
 
 
+def _cuts_sql(rounds: int = 5) -> str:
+    """The cuts written out; five rounds are more than the nesting of the derived boxes."""
+
+    def cut(name: str, source: str, axis: str, sign: str) -> str:
+        w = f"PARTITION BY page, panel_no, path ORDER BY {axis}0, {axis}1, id"
+        return f"""{name} AS (SELECT page, panel_no, id, x0, y0, x1, y1, path || [{sign}(sum(g) OVER ({w}))::BIGINT] AS path FROM (
+              SELECT *, CASE WHEN {axis}0 >= max({axis}1) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                THEN 1 ELSE 0 END AS g FROM {source}))"""
+
+    steps, at = [f"x0_ AS (SELECT page, coalesce(panel_no, -1) AS panel_no, id, x0, y0, x1, y1, []::BIGINT[] AS path FROM ({_ASSIGNED}))"], "x0_"
+    for i in range(1, rounds + 1):
+        steps += [cut(f"y{i}_", at, "y", ""), cut(f"x{i}_", f"y{i}_", "x", "-")]
+        at = f"x{i}_"
+    body = f"""SELECT page, panel_no, id,
+          row_number() OVER (PARTITION BY page, panel_no ORDER BY path, y0, -x1, id) AS ord FROM {at}"""
+    return d.with_views(f"WITH {', '.join(steps)} {body}", "regions", "panels")
+
+
+@query(_cuts_sql())
+def reading_order_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Right to left by recursive cuts at the gaps between boxes."""
+    return layout.reading_order_cuts(assign_to_panels(spark, sf), "rtl")
+
+
 _AUDIT = f"""SELECT a.page, a.id, a.cand, coalesce(sum(m.shared), 0)::BIGINT AS covered,
     count(m.shared) AS n_protected
   FROM placements a LEFT JOIN (
@@ -173,7 +197,7 @@ def nearest_style_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 0 AS n_wrong, true AS recall_ok")
 def nearest_style_lsh(spark: SparkSession, sf: str) -> DataFrame:
     """The projected matches against the exact five nearest within the radius: similarities
-    are right, and at least 0.8 of those are found."""
+    are right, and at least 0.9 of those are found."""
     vectors = d.table(spark, sf, "embeddings")
     radius = 1.2
     near = style.nearest_style(vectors, vectors, 5).filter(F.col("similarity") >= 1 - radius * radius / 2)
@@ -184,5 +208,5 @@ def nearest_style_lsh(spark: SparkSession, sf: str) -> DataFrame:
     )
     return both.agg(
         F.count_if(F.abs(F.col("_e") - F.col("_f")) > 1e-5).cast("int").alias("n_wrong"),
-        (F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()) >= 0.8 * F.count("_e")).alias("recall_ok"),
+        (F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()) >= 0.9 * F.count("_e")).alias("recall_ok"),
     )

@@ -12,7 +12,7 @@ from glossweave.catalog import derived as d
 from glossweave.catalog.registry import query
 from glossweave.operators import privacy
 from glossweave.session import scratch_path
-from glossweave.sources import files as src
+from glossweave.sources import files as src, nested, ranges
 from glossweave.streaming.sinks import append_result
 
 ALLOWED = ["activeTab", "economy", "small", "storage"]
@@ -105,6 +105,30 @@ def read_catalogs(spark: SparkSession, sf: str) -> DataFrame:
     return src.read_catalogs(spark, path, lang_pattern=r"lang=([^/]+)/", whole_file=False)
 
 
+@query(
+    """WITH m AS (SELECT o_orderkey % 3 AS part, o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM orders)
+       SELECT 'l' || part AS lang, 'order.' || o_orderkey || '.' || k AS key,
+         CASE k WHEN 'rank' THEN split_part(o_orderpriority, '-', 1) WHEN 'tags.0' THEN o_orderpriority WHEN 'tags.1' THEN o_orderstatus END AS value,
+         false AS broken
+       FROM m, (SELECT unnest(['rank', 'tags.0', 'tags.1', 'none']) AS k) WHERE o_orderkey % 50 <> 0
+       UNION ALL SELECT 'l' || part, NULL, NULL, true FROM m WHERE o_orderkey % 50 = 0"""
+)
+def read_nested_catalogs(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages nested three deep, one order a line; every fiftieth line is cut off in the middle."""
+    order = F.struct(
+        F.split("o_orderpriority", "-")[0].alias("rank"), F.array("o_orderpriority", "o_orderstatus").alias("tags"), F.lit(None).alias("none")
+    )
+    line = F.to_json(
+        F.struct(F.create_map(F.col("o_orderkey").cast("string"), order).alias("order")), {"ignoreNullFields": "false"}
+    )
+    cut = F.when(F.col("o_orderkey") % 50 == 0, F.substring(line, 1, 20)).otherwise(line)
+    path = scratch_path(spark, "nested")
+    rows = d.table(spark, sf, "orders").select(F.concat(F.lit("l"), (F.col("o_orderkey") % 3).cast("string")).alias("lang"), cut.alias("value"))
+    rows.write.partitionBy("lang").text(path)
+    found = nested.read_nested_catalogs(spark, path, r"lang=([^/]+)/", whole_file=False)
+    return found.select("lang", "key", "value", F.col("corrupt").isNotNull().alias("broken"))
+
+
 @query(
     f"""SELECT strlen(body) AS size, sha256(body) AS sha256 FROM (
           SELECT string_agg(html || chr(10), '' ORDER BY page_id) AS body FROM pages
@@ -112,6 +136,10 @@ def read_catalogs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def read_assets(spark: SparkSession, sf: str) -> DataFrame:
     """Pages bundled a hundred to a file, so that a file's size does not grow with the table."""
+    return src.read_assets(spark, _bundles(spark, sf), "*.txt").select("size", "sha256")
+
+
+def _bundles(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "assets")
     (
         src.read_pages(spark, sf)
@@ -122,7 +150,34 @@ def read_assets(spark: SparkSession, sf: str) -> DataFrame:
         .write.partitionBy("bundle")
         .text(path)
     )
-    return src.read_assets(spark, path, "*.txt").select("size", "sha256")
+    return path
+
+
+_RANGE, _FANOUT = 4096, 4
+
+
+def _tree_sql(levels: int = 8) -> str:
+    steps = "".join(
+        f""", t{i + 1} AS (
+              SELECT file, bytes, n_ranges, no // {_FANOUT} AS no, any_value(ceil(n / {_FANOUT})::BIGINT) AS n,
+                CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY no)) ELSE any_value(h) END AS h
+              FROM t{i} GROUP BY file, bytes, n_ranges, no // {_FANOUT})"""
+        for i in range(levels)
+    )
+    return f"""WITH files AS (
+          SELECT page_id // {PAGES_PER_ASSET} AS file, encode(string_agg(html || chr(10), '' ORDER BY page_id)) AS body FROM pages GROUP BY 1),
+        sized AS (SELECT file, hex(body) AS hexed, octet_length(body) AS bytes, greatest(1, ceil(octet_length(body) / {_RANGE}))::BIGINT AS n_ranges FROM files),
+        t0 AS (
+          SELECT file, bytes, n_ranges, no, n_ranges AS n, sha256(unhex(substr(hexed, 2 * {_RANGE} * no + 1, 2 * {_RANGE}))) AS h
+          FROM (SELECT *, unnest(range(n_ranges)) AS no FROM sized)){steps}
+        SELECT bytes, n_ranges, h AS root FROM t{levels}"""
+
+
+@query(_tree_sql())
+def range_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bundles in ranges of 4 KB, each read by itself, and the root over each file."""
+    found = ranges.file_ranges(spark, _bundles(spark, sf), "*.txt", _RANGE)
+    return ranges.hash_tree(ranges.hash_ranges(found), _FANOUT).select("bytes", "n_ranges", "root")
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")

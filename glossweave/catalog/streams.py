@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossweave.catalog import derived as d
 from glossweave.catalog.people import CURRENT_SQL, ROUTES_SQL, SESSIONS_SQL
 from glossweave.catalog.registry import query
+from glossweave.functions.text import fingerprint
 from glossweave.session import scratch_path, stored
 from glossweave.sources import read_event_stream
-from glossweave.streaming import operators as st
-from glossweave.streaming.sinks import append_result, routed_result, start_append, update_result
+from glossweave.streaming import keyed, operators as st
+from glossweave.streaming.sinks import append_result, routed_result, start_append, start_updates, update_result
 
 # A window or session is emitted once the newest event is a delay past its end.
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL '1 hour'"
@@ -57,47 +58,130 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _zoneless(append_result(rows, "sessions"))
 
 
-# Events in four blocks of days, each arriving when the one before has been worked off.  A
-# key is let through again once its last row let through is two hours (the delay and the
-# time it is kept) before the newest row of the block before.
-_BLOCKS, _BLOCK_DAYS = 4, 8
+def _in_blocks(spark: SparkSession, sf: str, days: int, blocks: int) -> DataFrame:
+    """All events with the number of the block of days they belong to."""
+    events = d.table(spark, sf, "events")
+    day = F.to_date("ts")
+    start = events.agg(F.min(day)).first()[0]
+    block = F.least(F.lit(blocks - 1), F.floor(F.date_diff(day, F.lit(start)) / days).cast("int"))
+    return events.withColumn("block", block)
+
+
+def _blocks_sql(days: int, blocks: int) -> str:
+    return f"""SELECT *, least({blocks - 1},
+        date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // {days}) AS block FROM events"""
+
+
+# All events arrive in blocks of days, each after the one before has been worked off.  A
+# row's time is the start of its block, so it does not matter which row of a key is let
+# through.  A key let through in block j is kept for the delay, until the watermark (the
+# newest block less the delay) has passed that: after block j + 3.
+_BLOCKS, _BLOCK_DAYS, _KEEP = 8, 4, 6
 
 
 def _dedup_sql() -> str:
+    again = -(-2 * _KEEP // _BLOCK_DAYS)
     steps = "".join(
         f""", e{j} AS (SELECT * FROM f WHERE block = {j} AND NOT EXISTS (
-              SELECT 1 FROM e{j - 1} p WHERE p.user_id = f.user_id AND p.event_type = f.event_type
-                AND p.ts > (SELECT max(ts) FROM f WHERE block = {j - 1}) - INTERVAL '2 hours'))"""
+              SELECT 1 FROM ({" UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(max(0, j - again), j))}) p
+              WHERE p.user_id = f.user_id AND p.event_type = f.event_type))"""
         for j in range(1, _BLOCKS)
     )
     every = " UNION ALL ".join(f"SELECT * FROM e{j}" for j in range(_BLOCKS))
-    return f"""WITH b AS (SELECT user_id, event_type, ts, least({_BLOCKS - 1},
-                 date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // {_BLOCK_DAYS}) AS block
-               FROM events),
-             f AS (SELECT user_id, event_type, block, min(ts) AS ts FROM b GROUP BY ALL),
+    return f"""WITH f AS (SELECT DISTINCT user_id, event_type, block FROM ({_blocks_sql(_BLOCK_DAYS, _BLOCKS)})),
              e0 AS (SELECT * FROM f WHERE block = 0){steps}
-             SELECT user_id, event_type, block, ts FROM ({every})"""
+             SELECT user_id, event_type, block FROM ({every})"""
 
 
 @query(_dedup_sql())
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """First rows of each key and block of days, each twice, in the order of the blocks."""
-    events = d.table(spark, sf, "events")
-    day = F.to_date("ts")
-    start = events.agg(F.min(day).alias("_start"))
-    block = F.least(F.lit(_BLOCKS - 1), F.floor(F.date_diff(day, F.lit(start.first()[0])) / _BLOCK_DAYS).cast("int"))
-    first = events.groupBy("user_id", "event_type", block.alias("block")).agg(F.min(F.struct("ts", "event_id")).alias("m"))
-    rows = first.select(
-        F.col("m.event_id").alias("event_id"), F.col("m.ts").alias("ts"), "user_id", "event_type",
-        F.col("block").cast("double").alias("value"), F.lit("{}").alias("props"), "block",
-    )
-    rows = stored(rows.unionByName(rows), "blocks")
+    """Every event as a change notice of its user and type, in the order of the blocks."""
+    rows = _in_blocks(spark, sf, _BLOCK_DAYS, _BLOCKS)
+    start = F.timestamp_seconds((F.col("block") + 1) * _BLOCK_DAYS * 86_400).cast("timestamp_ntz")
+    rows = stored(rows.withColumn("ts", start).withColumn("value", F.col("block").cast("double")), "blocks")
     folder, out, log = (scratch_path(spark, name) for name in ("arrivals", "dedup", "dedup_log"))
     for j in range(_BLOCKS):
         rows.filter(F.col("block") == j).drop("block").write.mode("append").parquet(folder)
-        stream = st.stream_dedup(read_event_stream(spark, folder, "*.parquet"), ["user_id", "event_type"])
-        picked = stream.select("user_id", "event_type", F.col("value").cast("int").alias("block"), "ts")
+        stream = st.stream_dedup(
+            read_event_stream(spark, folder, "*.parquet"), ["user_id", "event_type"], f"{_KEEP} days"
+        )
+        picked = stream.select("user_id", "event_type", F.col("value").cast("int").alias("block"))
         start_append(picked, out, log).awaitTermination()
+    return spark.read.parquet(out)
+
+
+# Four blocks of eight days; every fiftieth event arrives one block late, behind the watermark.
+_LATE = "(event_id % 50 = 0)"
+_ARRIVALS_SQL = f"""SELECT *, least(3, block + {_LATE}::INT) AS arrival FROM ({_blocks_sql(8, 4)})"""
+_TTL_HOURS = 24
+
+
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    late = F.expr(_LATE).cast("int")
+    return stored(_in_blocks(spark, sf, 8, 4).withColumn("arrival", F.least(F.lit(3), F.col("block") + late)), "arrivals")
+
+
+@query(
+    f"""WITH b AS ({_ARRIVALS_SQL}),
+      seen AS (SELECT j, max(ts) - INTERVAL '1 hour' AS wm FROM b JOIN (SELECT unnest([1, 2, 3]) AS j) ON arrival < j GROUP BY j),
+      kept AS (SELECT b.* FROM b LEFT JOIN seen ON arrival = j WHERE wm IS NULL OR ts > wm)
+      SELECT user_id, session_end - INTERVAL '{_TTL_HOURS} hours' AS last_use, session_end AS expired_at, n_events AS n_uses
+      FROM ({SESSIONS_SQL.format(gap=f"'{_TTL_HOURS} hours'").replace("FROM events", "FROM kept")})
+      WHERE session_end <= {_CLOSED}"""
+)
+def stream_expire_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """Expiries by timers over events that arrive in four files, some of them too late."""
+    rows = _arrivals(spark, sf)
+    folder, out, log = (scratch_path(spark, name) for name in ("events", "expired", "expired_log"))
+    with keyed.rocksdb_state(spark):
+        for j in range(4):
+            rows.filter(F.col("arrival") == j).drop("block", "arrival").write.mode("append").parquet(folder)
+            stream = keyed.stream_expire_timers(read_event_stream(spark, folder, "*.parquet"), _TTL_HOURS * 3600)
+            start_append(stream, out, log).awaitTermination()
+    return _zoneless(spark.read.parquet(out))
+
+
+@query(CURRENT_SQL)
+def stream_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State loaded from a table of the first block, updated by three more, and read from the store."""
+    rows = _arrivals(spark, sf)
+    folder, out, log = (scratch_path(spark, name) for name in ("events", "state", "state_log"))
+    snapshot = stored(keyed.state_snapshot(rows.filter("arrival = 0")), "snapshot")
+    with keyed.rocksdb_state(spark):
+        for j in range(1, 4):
+            rows.filter(F.col("arrival") == j).drop("block", "arrival").write.mode("append").parquet(folder)
+            stream = keyed.stream_keyed_state(read_event_stream(spark, folder, "*.parquet"), snapshot)
+            start_updates(stream, out, log).awaitTermination()
+    return _zoneless(keyed.stored_state(spark, log))
+
+
+# Purchases teach the memory: from then on, and for three days, their props have a translation.
+_LEARNT = "'T:' || event_id::VARCHAR"
+
+
+@query(
+    f"""WITH learnt AS (SELECT {d.sql_fingerprint('props')} AS fp, ts, {_LEARNT} AS target FROM events WHERE event_type = 'purchase'),
+      asked AS (SELECT event_id, ts, {d.sql_fingerprint('props')} AS fp FROM events WHERE event_type <> 'purchase')
+      SELECT event_id, asked.ts, max_by(target, (epoch_us(learnt.ts), target)) AS target
+      FROM asked LEFT JOIN learnt ON asked.fp = learnt.fp AND learnt.ts <= asked.ts AND learnt.ts > asked.ts - INTERVAL '3 days'
+      WHERE date_trunc('second', asked.ts) + INTERVAL '1 second'
+        <= (SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type <> 'purchase')) FROM events) - INTERVAL '1 hour' - INTERVAL '3 days'
+      GROUP BY 1, 2"""
+)
+def stream_tm_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Events looked up in a memory that learns while they arrive, both in four blocks."""
+    rows = stored(_in_blocks(spark, sf, 8, 4), "blocks")
+    asked, learnt, out, log = (scratch_path(spark, name) for name in ("asked", "learnt", "asof", "asof_log"))
+    buys = F.col("event_type") == "purchase"
+    for j in range(4):
+        block = rows.filter(F.col("block") == j).drop("block")
+        block.filter(buys).write.mode("append").parquet(learnt)
+        block.filter(~buys).write.mode("append").parquet(asked)
+        updates = read_event_stream(spark, learnt, "*.parquet").select(
+            fingerprint(F.col("props")).alias("fp"), F.concat(F.lit("T:"), F.col("event_id").cast("string")).alias("target"), "ts"
+        )
+        found = keyed.stream_tm_asof(read_event_stream(spark, asked, "*.parquet"), updates, "3 days", col="props")
+        start_append(found, out, log).awaitTermination()
     return _zoneless(spark.read.parquet(out))
 
 

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.boxes import area, iou, overlap_area
-from glossweave.plans.scale import HOT_ROWS, grid_cells, grid_exists, grid_join, running_sum
+from glossweave.plans.levels import level_join
+from glossweave.plans.scale import HOT_ROWS, grid_cells, grid_exists, grid_join, running_max_before, running_sum
 from glossweave.session import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -23,14 +24,20 @@ DENSE = 2_000
 FOLD = 500
 
 
-def overlap_pairs(regions: DataFrame, min_iou: float = 0.0, cell: int = CELL) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, cell: int | None) -> DataFrame:
+    """Overlapping pairs on a grid of one cell size, or on one with levels for boxes of all sizes."""
+    return level_join(left, right) if cell is None else grid_join(left, right, cell)
+
+
+def overlap_pairs(regions: DataFrame, min_iou: float = 0.0, cell: int | None = None) -> DataFrame:
     """Overlapping pairs of one page, a_id < b_id, with areas, intersection and IoU.
 
     Every overlapping pair is an output row, so copies cannot be collapsed here;
-    the grid keeps boxes that are far apart from meeting at all.
+    the grid keeps boxes that are far apart from meeting at all.  Without ``cell`` it has a
+    level for each size of boxes, and crowded cells are spread over tasks.
     """
     boxes = regions.select("page", "id", *BOX)
-    pairs = grid_join(boxes, boxes, cell).filter("a_id < b_id")
+    pairs = _met(boxes, boxes, cell).filter("a_id < b_id")
     return pairs.select(
         "page",
         "a_id",
@@ -239,11 +246,14 @@ def _lattice_edges(boxes: DataFrame, step: int) -> DataFrame:
     return points.join(lowest, ["page", "px", "py"]).select(F.col("id").alias("a"), "b")
 
 
-def assign_to_panels(regions: DataFrame, panels: DataFrame, cell: int = 4 * CELL) -> DataFrame:
-    """Best panel per region by shared area (lower panel number on ties), null if none."""
+def assign_to_panels(regions: DataFrame, panels: DataFrame, cell: int | None = None) -> DataFrame:
+    """Best panel per region by shared area (lower panel number on ties), null if none.
+
+    Regions and panels of any size meet on a grid with levels; ``cell`` fixes one cell size.
+    """
     boxes = regions.select("page", *BOX).distinct()
     best = (
-        grid_join(boxes, panels.select("page", "panel_no", *BOX), cell)
+        _met(boxes, panels.select("page", "panel_no", *BOX), cell)
         .groupBy("page", *[F.col(f"a_{c}").alias(c) for c in BOX])
         .agg(F.max(F.struct(overlap_area().alias("s"), (-F.col("b_panel_no")).alias("p"))).alias("_m"))
         .select("page", *BOX, (-F.col("_m.p")).alias("panel_no"), F.col("_m.s").alias("shared"))
@@ -283,12 +293,72 @@ def reading_order(
     ).select("page", "panel_no", "id", "ord")
 
 
-def _covered(boxes: DataFrame, protected: DataFrame, cell: int) -> DataFrame:
+def _cut(df: DataFrame, axis: str, backwards: bool, limit: int) -> DataFrame:
+    """Append to ``path`` the part a box falls into when its group is cut at gaps along an axis.
+
+    A gap is a stretch of the axis that no box of the group covers.  ``_parts`` counts the
+    gaps found so far in the group, up to the box.
+    """
+    low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
+    keys, order = ["page", "panel_no", "path"], [low, high, F.col("id")]
+    reach = running_max_before(df, keys, order, high, "_reach", limit)
+    gap = F.coalesce((low >= F.col("_reach")).cast("int"), F.lit(0))
+    cut = running_sum(reach.withColumn("_gap", gap), keys, order, F.col("_gap"), "_part", limit)
+    part = F.col("_part").cast("long")
+    return cut.select(
+        "page", "panel_no", "id", *BOX, F.concat("path", F.array(-part if backwards else part)).alias("path"),
+        F.greatest("_parts", part).alias("_parts"),
+    )
+
+
+def reading_order_cuts(regions: DataFrame, direction: str = "rtl", limit: int = HOT_ROWS) -> DataFrame:
+    """Order of regions inside (page, panel) by recursive cuts: page, panel_no, id, ord.
+
+    A group of boxes is cut at every horizontal gap, the parts at every vertical gap, and
+    so on until no part has a gap left.  ``rtl`` and ``ltr`` cut into rows first and read the
+    columns of a row in the direction; ``vertical`` cuts into columns first, read from the
+    right.  Boxes of one part, which overlap in both projections, are read by their upper
+    edge, then across.  No row height is assumed, so staggered panels keep together.
+    Each level of nesting is one round over the parts that were cut in the last one, written
+    to the shared folder; a group that holds a large share of all rows is windowed in chunks.
+    Regions without a panel form a group numbered -1; a null edge comes first and cuts nothing.
+    """
+    if direction not in ("rtl", "ltr", "vertical"):
+        raise ValueError(f"unknown direction {direction!r}")
+    across = F.col("x0") if direction == "ltr" else -F.col("x1")
+    axes = [("x", True), ("y", False)] if direction == "vertical" else [("y", False), ("x", direction == "rtl")]
+    live = regions.select(
+        "page", F.coalesce("panel_no", F.lit(-1)).alias("panel_no"), "id", *BOX,
+        F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("long").alias("_parts"),
+    )
+    settled: list[DataFrame] = []
+    while True:
+        for axis, backwards in axes:
+            live = _cut(live, axis, backwards, limit)
+        live = stored(live, "cuts")
+        # a part goes on if its group, known by the path before this round, was cut
+        group = ["page", "panel_no", F.slice("path", F.lit(1), F.size("path") - 2).alias("_from")]
+        cut = live.groupBy(*group).agg(F.max("_parts").alias("_most")).filter("_most > 0")
+        keyed = live.withColumn("_from", F.slice("path", F.lit(1), F.size("path") - 2))
+        keys = ["page", "panel_no", "_from"]
+        settled.append(keyed.join(cut, keys, "left_anti").drop("_from"))
+        more = stored(keyed.join(cut, keys, "left_semi").drop("_from").withColumn("_parts", F.lit(0).cast("long")), "cuts")
+        if more.isEmpty():
+            break
+        live = more
+    rows = reduce(DataFrame.unionByName, settled)
+    order = [F.col("path"), F.col("y0"), across, F.col("id")]
+    if direction == "vertical":
+        order = [F.col("path"), across, F.col("y0"), F.col("id")]
+    return running_sum(rows, ["page", "panel_no"], order, F.lit(1), "ord", limit).select("page", "panel_no", "id", "ord")
+
+
+def _covered(boxes: DataFrame, protected: DataFrame, cell: int | None) -> DataFrame:
     """Protected area under each distinct box, and how many protected boxes it meets."""
     shapes = boxes.select("page", *BOX).distinct()
     art = protected.groupBy("page", *BOX).agg(F.count(F.lit(1)).alias("n"))
     return (
-        grid_join(shapes, art, cell)
+        _met(shapes, art, cell)
         .groupBy("page", *[F.col(f"a_{c}").alias(c) for c in BOX])
         .agg(
             F.sum(overlap_area() * F.col("b_n")).alias("covered"),
@@ -297,7 +367,7 @@ def _covered(boxes: DataFrame, protected: DataFrame, cell: int) -> DataFrame:
     )
 
 
-def collision_audit(placements: DataFrame, protected: DataFrame, cell: int = CELL) -> DataFrame:
+def collision_audit(placements: DataFrame, protected: DataFrame, cell: int | None = None) -> DataFrame:
     """Each placement (id, cand, page, box) with the protected area it covers."""
     hit = _covered(placements, protected, cell)
     return placements.join(hit, ["page", *BOX], "left").select(
@@ -309,7 +379,7 @@ def collision_audit(placements: DataFrame, protected: DataFrame, cell: int = CEL
     )
 
 
-def choose_placement(candidates: DataFrame, protected: DataFrame, cell: int = CELL) -> DataFrame:
+def choose_placement(candidates: DataFrame, protected: DataFrame, cell: int | None = None) -> DataFrame:
     """Per bubble the candidate that covers least, the lower candidate number on ties."""
     audited = collision_audit(candidates, protected, cell)
     return (

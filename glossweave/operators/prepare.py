@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -159,6 +160,13 @@ def score_text(model: PipelineModel, docs: DataFrame) -> DataFrame:
     )
 
 
+def ranking_quality(scored: DataFrame, labels: DataFrame, label: str = "quality") -> float:
+    """Area under the ROC curve of (doc_id, score) on labelled rows; give it held-out ones."""
+    rows = scored.join(labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id")
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label")
+    return evaluator.evaluate(rows.filter(F.col("label").isNotNull()))
+
+
 def script_profile(df: DataFrame, col: str = "text") -> DataFrame:
     """Add letters per script (``n_<script>``), ``dominant_script`` and ``lang_bucket``.
 

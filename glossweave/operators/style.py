@@ -12,6 +12,8 @@ from glossweave.session import stored
 
 # Similarities are ranked after rounding, so that copies of a vector tie exactly.
 DIGITS = 6
+#: Bytes of bounds that one step of a batch computes.
+BOUND_BYTES = 256 << 20
 SLACK = 1e-5
 #: Pivots are sent to every task; beyond this number cells grow and are split into blocks.
 MOST_PIVOTS = 4096
@@ -95,9 +97,12 @@ def nearest_style(
     @F.pandas_udf("array<int>")
     def wanted(distances: pd.Series) -> pd.Series:
         d = np.stack(distances.to_numpy())[:, cells]
-        bound = np.partition(d[:, flat_cell] + flat_own, kth, axis=1)[:, kth]
-        if len(flat_own) < need:
-            bound[:] = np.inf
+        bound = np.full(len(d), np.inf)
+        if len(flat_own) >= need:
+            step = max(1, BOUND_BYTES // (16 * len(flat_own)))
+            for at in range(0, len(d), step):  # a slice of the batch, so memory does not grow with it
+                upper = d[at : at + step][:, flat_cell] + flat_own
+                bound[at : at + step] = np.partition(upper, kth, axis=1)[:, kth]
         # Comparing squared distances keeps the slack in units of similarity.
         low = np.maximum(0.0, d - reach)
         mask = low**2 <= bound[:, None] ** 2 + SLACK

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.text import collapse_stretch, words
 
@@ -16,6 +16,8 @@ HONORIFICS_JA = ["さん", "くん", "ちゃん", "先輩", "様", "殿", "先
 
 #: Rows and characters of a glossary that may be sent to every executor.
 SMALL_TERMS, SMALL_CHARS = 200_000, 8_000_000
+#: First words of phrases that are looked up in a bitmap before the join.
+MAPPED_WORDS = 20_000
 SALTS = 32
 
 
@@ -81,46 +83,75 @@ def annotate_terms(
 
     Result: (key, n_words, n_hits, coverage).  A term of several words, such as any of
     more than one letter in a script without spaces, is met where its words follow each
-    other; each occurrence of a term is a hit.  A glossary of measured small size is
-    sent to every executor.  A larger one is joined by (term, salt), so that a word that
-    makes up much of all text is spread over many tasks.
+    other; each occurrence of a term is a hit.  The glossary is a table from a term's first
+    word to what may follow it, probed once for each word of the text: the words that
+    follow are looked at only behind a first word of a phrase, so a long term costs nothing
+    elsewhere.  A glossary of measured small size is sent to every executor.  A larger one
+    is joined by (first word, salt), so that a word that makes up much of all text is
+    spread over many tasks.
     """
     key = list(key)
     terms = (
         glossary.select(words(F.col("term")).alias("_w"))
         .filter(F.size("_w") > 0)
-        .select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("_n"))
         .distinct()
+        .select(F.col("_w")[0].alias("_word"), F.slice("_w", F.lit(2), F.size("_w") - 1).alias("_rest"))
     )
-    longest, n, chars = terms.agg(
-        F.max("_n"), F.count(F.lit(1)), F.sum(F.length("term"))
+    phrase = F.size("_rest") > 0
+    longest, n, chars, phrases = terms.agg(
+        F.max(F.size("_rest")), F.count(F.lit(1)), F.sum(F.length("_word") + F.length(F.array_join("_rest", " "))), F.count_if(phrase)
     ).first()
-    split = segments.select(*key, words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.size("_w"), F.lit(longest or 1))),
-            lambda k: F.transform(
-                F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " ")
-            ),
-        )
+    small = n <= SMALL_TERMS and (chars or 0) <= SMALL_CHARS
+    known = terms.groupBy("_word").agg(
+        F.count_if(~phrase).alias("_single"), F.collect_list(F.when(phrase, F.col("_rest"))).alias("_phrases")
     )
-    tokens = split.select(*key, F.size("_w").alias("n_words"), F.explode(grams).alias("term"))
-    known = terms.select("term", F.lit(1).alias("_known"))
-    if n <= SMALL_TERMS and (chars or 0) <= SMALL_CHARS:
-        met = tokens.join(F.broadcast(known), "term", "left")
+    split = segments.select(*key, words(F.col("text")).alias("_w"))
+    if phrases:
+        at = split.select(*key, F.size("_w").alias("n_words"), "_w", F.posexplode("_w").alias("_pos", "_word"))
+        behind = F.slice("_w", F.col("_pos") + 2, F.lit(longest))
+        begins = _begins(terms.filter(phrase)) if small else F.lit(True)
+        tokens = at.select(*key, "n_words", "_word", F.when(begins, behind).alias("_behind"))
+        met_phrases = F.filter("_phrases", lambda p: F.slice("_behind", F.lit(1), F.size(p)) == p)
+        follow = F.when(F.size("_phrases") > 0, F.size(met_phrases)).otherwise(0)
+    else:
+        tokens = split.select(*key, F.size("_w").alias("n_words"), F.explode("_w").alias("_word"))
+        follow = F.lit(0)
+    if small:
+        met = tokens.join(F.broadcast(known), "_word", "left")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")
         met = tokens.withColumn("_salt", salt).join(
-            known.withColumn("_salt", salts), ["term", "_salt"], "left"
+            known.withColumn("_salt", salts), ["_word", "_salt"], "left"
         )
     return (
         met.groupBy(*key)
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.count("_known").alias("n_hits"))
+        .agg(
+            F.max("n_words").cast("long").alias("n_words"),
+            F.sum(F.coalesce(F.col("_single") + follow, F.lit(0)).cast("long")).alias("n_hits"),
+        )
         .withColumn("coverage", F.round(F.col("n_hits") / F.col("n_words"), 6))
     )
 
 
+def _begins(phrases: DataFrame) -> Column:
+    """False for most words that begin no phrase: a bitmap of the first words' hashes.
+
+    Only for a glossary of measured small size, whose first words are collected.
+    """
+    count = phrases.select("_word").distinct().count()
+    if count > MAPPED_WORDS:
+        return F.lit(True)
+    size = max(1024, 1 << (16 * count - 1).bit_length())
+    place = F.pmod(F.xxhash64("_word"), F.lit(size)).cast("int")
+    bits = [0] * (size // 64)
+    for row in phrases.select(place.alias("p")).distinct().collect():
+        bits[row["p"] // 64] |= 1 << (row["p"] % 64)
+    signed = F.split(F.lit(",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)), ",").cast("array<bigint>")
+    word = F.get(signed, F.floor(place / 64).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)) != 0
+
+
 def catalog_coverage(catalogs: DataFrame, base: str = "en") -> DataFrame:
     """Keys a language misses or has in excess of the base, as (lang, key, status, fallback).
 

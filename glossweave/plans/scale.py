@@ -136,6 +136,39 @@ def running_sum(
     )
 
 
+def running_max_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    value: Column,
+    name: str,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """Largest ``value`` of the earlier rows of the key in ``order``, null for the first row.
+
+    As ``running_sum``, with the largest values of a key's earlier chunks carried in.  Rows
+    that tie in ``order`` share a chunk, where one of them comes first.
+    """
+    keys = list(keys)
+    earlier = (Window.unboundedPreceding, -1)
+    marked = mark_chunks(df, keys, order, limit)
+    if marked is None:
+        return df.withColumn(
+            name, F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier))
+        )
+    marked = marked.withColumn("_v", value)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*earlier)
+    totals = marked.filter("_hot").groupBy(*keys, "_chunk").agg(F.max("_v").alias("_t"))
+    carried = totals.select(*keys, "_chunk", F.max("_t").over(before).alias("_off"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(*earlier)
+    return (
+        marked.withColumn("_in", F.max("_v").over(inside))
+        .join(carried, [*keys, "_chunk"], "left")
+        .withColumn(name, F.greatest("_off", "_in"))
+        .drop("_hot", "_v", "_off", "_in", "_chunk")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -116,6 +116,25 @@ def test_glossary_terms_of_several_words(spark, monkeypatch, small):
     assert got == {(1, 0): (8, 3), (1, 1): (4, 3)}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_long_terms_are_met_behind_their_first_word_only(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(terms, "SMALL_TERMS", 0)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    glossary = {" ".join(rng.choices(vocabulary, k=k)) for k in (1, 1, 2, 2, 2, 3, 3, 4) for _ in range(6)}
+    long_term = " ".join(rng.choices(vocabulary, k=30))
+    glossary |= {long_term, "w1 w1"}
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 80))) for _ in range(30)] + [f"w1 w1 w1 {long_term}", "x " + long_term[:-1]]
+    want = {}
+    for i, text in enumerate(texts):
+        ws = text.split()
+        want[i] = sum(ws[a:b] == t.split() for t in glossary for a in range(len(ws)) for b in [a + len(t.split())])
+    seg = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("pos", F.lit(0))
+    found = terms.annotate_terms(seg, spark.createDataFrame([(t,) for t in glossary], "term string"))
+    assert {r.doc_id: r.n_hits for r in found.collect()} == want
+
+
 def test_honorifics_of_both_scripts(spark):
     texts = ["Mary-Jane-san met Bo-sama and Al-sanity", "明さんと田中先生がマリアちゃんへ", "a.b-c"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
