@@ -1,7 +1,8 @@
 """Benchmark passages in documents, up to an edit budget.
 
 Texts are compared as lower-cased words with single spaces.  An item of n characters
-may differ in k = floor(rate * n) edits.  Cut into k + 1 pieces, at least one piece of
+may differ in k = floor(rate * n) edits; one too short for an edit is found as whole words
+only, so "art" is not found in "party".  Cut into k + 1 pieces, at least one piece of
 it survives k edits unchanged, so the exact hits of all pieces (one Aho-Corasick pass
 over the document) miss nothing.  Around each hit, Myers' bit-parallel algorithm gives
 the smallest distance between the item and any stretch of the document.
@@ -108,17 +109,23 @@ class Matcher:
         """For each item found: (distance, start, end) of its nearest stretch in the normal text.
 
         start is end minus the item's length: exact for distance zero, else within the
-        distance of the true start.
+        distance of the true start.  An item without a budget is found as whole words only.
         """
         found: dict[int, tuple[int, int, int]] = {}
         if not self.items:
             return found
         norm = normal(text)
+        framed = f" {norm} "
         tried: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(norm):
             for item, offset in places:
                 _, pattern, budget = self.items[item]
                 shift = last + 1 - size - offset
+                if not budget:  # the piece is the item: a hit is exact and has to be whole words
+                    end = shift + len(pattern)
+                    if item not in found and framed[shift] == framed[end + 1] == " ":
+                        found[item] = (0, shift, end)
+                    continue
                 # a window holds all alignments whose shift falls into its slot
                 slot = shift // (budget + 1)
                 if (item, slot) in tried:

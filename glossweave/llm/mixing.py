@@ -27,6 +27,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 CHUNK_BITS = 6
 SEED = 20
+#: Equal rows that one task makes from their count.
+REPEATS = 10_000
 
 
 def ranked_sources(sized: DataFrame) -> DataFrame:
@@ -80,18 +82,34 @@ def source_targets(
     )
 
 
-def _chance(level: int, a: Column, b: Column) -> Column:
-    """A number in [0, 1) that depends only on the seed, the level and the two documents."""
-    return F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), a, b), F.lit(1 << 40)) / float(1 << 40)
+def _chance(level: int, *of: Column) -> Column:
+    """A number in [0, 1) that depends only on the seed, the level and what is drawn for."""
+    return F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), *of), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with a ``number`` that tells equal rows apart, from 0.
+
+    Equal rows are counted and made again from their count, in blocks that are dealt to
+    tasks, so a row that makes up a third of the table is spread, and reruns agree.
+    """
+    rows = stored(sized.groupBy("doc_id", "size", "source").agg(F.count(F.lit(1)).alias("n")), "counted")
+    once = rows.filter("n = 1").select("doc_id", "size", "source", F.lit(0).cast("long").alias("number"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS)))
+    blocks = rows.filter("n > 1").withColumn("block", block).repartition("doc_id", "size", "source", "block")
+    first = F.col("block") * REPEATS
+    last = F.least(first + REPEATS, F.col("n")) - 1
+    again = blocks.select("doc_id", "size", "source", F.explode(F.sequence(first, last)).alias("number"))
+    return once.unionByName(again)
 
 
 def _meet(units: Column, unit_type: str, level: int) -> Column:
     """Let the units of one chunk meet in falling order; the settled ones, and one carried on."""
-    names = ["size", "doc_id", "source_size", "target", "copies", "p"]
+    names = ["size", "doc_id", "number", "source_size", "target", "copies", "p"]
 
     def with_p(u: Column, p: Column, plus: Column = F.lit(0)) -> Column:
         return F.struct(
-            *[u[n].alias(n) for n in names[:4]],
+            *[u[n].alias(n) for n in names[:5]],
             (u["copies"] + plus).cast("int").alias("copies"),
             p.cast("double").alias("p"),
         )
@@ -102,7 +120,8 @@ def _meet(units: Column, unit_type: str, level: int) -> Column:
         up_x, down_x = (1 - x["p"]) * x["size"], x["p"] * x["size"]
         to_a, to_x = F.least(up_a, down_x), F.least(down_a, up_x)
         # drawn so that both fractions keep their expected value
-        rises = _chance(level, a["doc_id"], x["doc_id"]) < to_x / (to_a + to_x)
+        drawn = _chance(level, a["doc_id"], a["number"], x["doc_id"], x["number"])
+        rises = drawn < to_x / (to_a + to_x)
         a_settles = F.when(rises, up_a <= down_x).otherwise(down_a <= up_x)
         moved = F.when(rises, to_a).otherwise(-to_x)
         settled = F.when(a_settles, with_p(a, F.lit(0.0), F.when(rises, 1).otherwise(0))).otherwise(
@@ -132,12 +151,14 @@ def mix(
     share: float = SHARE,
     most: float = MOST,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, copies.
 
     size counts words, target is the source's, taken is copies * size.  A null text or
-    one without words has size 0 and takes nothing; rows without a source form one of
-    their own.  Repeated rows are documents of their own.  Draws depend on ids and
-    sizes only, so reruns agree.  An empty table gives no rows; other columns are ignored.
+    one without words has size 0 and takes nothing; a very long one counts whole.  Rows
+    without a source form one of their own.  Repeated rows, and rows without an id, are
+    documents of their own and draw by their number among equal rows.  Draws depend on
+    ids, sizes and these numbers only, so reruns agree.  An empty table gives no rows;
+    other columns are ignored.
     """
     sized = stored(
         docs.select(
@@ -149,12 +170,13 @@ def mix(
     )
     targets = stored(source_targets(sized, weights, share, most), "targets").withColumnRenamed("source", "_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
+    units = _numbered(sized).join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
         "source",
-        F.xxhash64(F.lit(SEED), "doc_id", "size").alias("draw"),
+        F.xxhash64(F.lit(SEED), "doc_id", "size", "number").alias("draw"),
         F.struct(
             "size",
             "doc_id",
+            "number",
             "source_size",
             "target",
             F.floor(ratio).cast("int").alias("copies"),
@@ -162,7 +184,7 @@ def mix(
         ).alias("unit"),
     )
     unit_type = (
-        f"struct<size:bigint,doc_id:{type_of(sized, 'doc_id')},source_size:bigint,"
+        f"struct<size:bigint,doc_id:{type_of(sized, 'doc_id')},number:bigint,source_size:bigint,"
         "target:double,copies:int,p:double>"
     )
     units = stored(units, "units")
@@ -185,24 +207,27 @@ def mix(
             break
         level, bits = level + 1, max(0, bits - CHUNK_BITS)
     last = open_units.select("unit.*")
-    take = _chance(level + 1, F.col("doc_id"), F.col("size")) < F.col("p")
+    take = _chance(level + 1, F.col("doc_id"), F.col("size"), F.col("number")) < F.col("p")
     done.append(last.withColumn("copies", F.col("copies") + F.when(take, 1).otherwise(0)))
     return union_all(done).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.col("copies").cast("long").alias("copies"),
         (F.col("copies") * F.col("size")).alias("taken"),
+        F.col("copies").cast("long").alias("copies"),
     )
 
 
 def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as the plan of ``mix`` takes it; ids must be distinct."""
+    """``docs`` with each row as often as the plan of ``mix`` takes it; ids must be distinct.
+
+    A single row without an id counts as one; a row that is taken no time goes.
+    """
     key, n, copy = (fresh(docs, name) for name in ("key", "times", "copy"))
     times = plan.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
     return (
-        docs.join(times, F.col(id_col) == F.col(key))
+        docs.join(times, F.col(id_col).eqNullSafe(F.col(key)))
         .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
         .drop(key, n, copy)
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glossweave.llm.common import text_of
 from glossweave.session import stored
@@ -31,14 +31,21 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like words: they hold a digit and end in a letter or digit.
-CANDIDATE = r"(?<![\w@.%+-])[A-Za-z_@.%+-]*+[0-9](?:[\w@.%+-]*\w)?"
+#: Identifier-like stretches: words with an @, runs of groups of digits parted by single
+#: blanks, dots, hyphens or parentheses, and words that hold a digit.  Runs are possessive.
+_GROUP = r"(?:[\x20.-]|\)[\x20.-]?|[\x20.-]?\()[0-9]++"
+CANDIDATE = (
+    r"(?<![\w@.%+-])(?:"
+    r"[\w.%+-]++@[\w-]++(?:\.[\w-]++)*+"
+    rf"|\+?\(?[0-9]++(?:{_GROUP})*+(?![\w@%+])"
+    r"|[A-Za-z_@.%+-]*+[0-9](?:[\w@.%+-]*\w)?)"
+)
 #: Which kinds a candidate may become.
 SHAPES = {
     "email": r"\A[^@]++@[^@]++\z",
     "ip": r"\A[0-9]++(?:\.[0-9]++){2,}+\z",
-    "card": r"\A(?:[0-9]-?){12,19}\z",
-    "phone": r"\A\+?(?:[0-9][.-]?){7,15}\z",
+    "card": r"\A[0-9](?:[\x20-]?[0-9]){11,18}\z",
+    "phone": r"\A\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}\z",
 }
 #: Characters of context on either side.
 CONTEXT = 40
@@ -162,7 +169,7 @@ def base_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.xxhash64(text).alias("row_hash"),
         *[F.when(gates[k], _valid_matches(text, k)).otherwise(none).alias(k) for k in KINDS],
-        F.when(digit, all_matches(text, CANDIDATE)).otherwise(none).alias("candidates"),
+        F.when(digit | gates["email"], all_matches(text, CANDIDATE)).otherwise(none).alias("candidates"),
     )
 
 
@@ -243,11 +250,36 @@ def trusted_values(found: DataFrame) -> DataFrame:
     return trusted.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti").select("value", "kind")
 
 
+def _clear_of_base(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """The added spans of a text that overlap none of its base matches.
+
+    Base and added spans of a text are gone through in the order of their starts: an added
+    one is clear if no base match before it reaches into it, and the next one starts at its
+    end at the earliest.  Only texts with added spans are looked at.
+    """
+    ids = spans.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))
+    base = (
+        found.join(ids, same, "left_semi")
+        .select("doc_id", "row_hash", F.explode(F.concat(*KINDS)).alias("b"))
+        .select("doc_id", "row_hash", F.lit(None).cast("string").alias("kind"), "b.start", "b.end")
+        .distinct()
+    )
+    order = Window.partitionBy("doc_id", "row_hash").orderBy("start", F.col("kind").isNotNull(), "end", "kind")
+    is_base = F.col("kind").isNull()
+    reached = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    placed = spans.unionByName(base).withColumns({"_reached": reached, "_following": following})
+    clear = (F.coalesce("_reached", F.lit(0)) <= F.col("start")) & (F.coalesce("_following", F.col("end")) >= F.col("end"))
+    return placed.filter(~is_base & clear).select("doc_id", "row_hash", "kind", "start", "end")
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, email, ip, card, phone (base matches), added (kind, start, end).
 
-    A span added never overlaps a base match of its document.  A null text is empty and
-    holds nothing; repeated rows get the same answer each; an empty table gives no rows;
+    A span added never overlaps a base match of its document; added spans of one kind do not
+    overlap each other.  A null text is empty and holds nothing; a very long one is read
+    whole, in time that grows with its length and matches; repeated rows get the same answer each; an empty table gives no rows;
     other columns are ignored.
     """
     found = stored(base_matches(docs, id_col, text_col), "matches")
@@ -258,18 +290,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("_v", F.xxhash64(span["value"]))
         .join(accepted, F.col("_v") == F.col("_value"))
     )
-    extra = (
-        seen.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))
-        .agg(F.collect_set(F.struct("kind", span["start"].alias("start"), span["end"].alias("end"))).alias("added"))
-    )
+    spans = seen.select("doc_id", "row_hash", "kind", span["start"].alias("start"), span["end"].alias("end"))
+    extra = _clear_of_base(spans.distinct(), found).groupBy(
+        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")
+    ).agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     joined = found.join(
         extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left"
     )
-    base = F.concat(*KINDS)
-    free = F.filter(
-        F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")),
-        lambda a: ~F.exists(base, lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])),
-    )
+    free = F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     return joined.select("doc_id", *KINDS, free.alias("added"))
 
 

@@ -334,3 +334,42 @@ def test_rare_marked_pages_are_found(spark):
     assert html_text.train(pages, fit_pages=2) is not None
     assert html_text.train(pages.filter("page_id % 200 <> 7"), fit_pages=2) is None
     assert html_text.train(pages.selectExpr("cast(null as long) page_id", "html"), fit_pages=2) is not None
+
+
+def test_items_are_found_as_whole_words():
+    matcher = Matcher([(1, "art"), (2, "a"), (3, "the art of war"), (4, "noon")], 0.0)
+
+    def found(text):
+        return {matcher.items[i][0]: normal(text)[hit[1] : hit[2]] for i, hit in matcher.search(text).items()}
+
+    assert found("The party met at noon.") == {4: "noon"}
+    assert found("Bathe art of warm a") == {1: "art", 2: "a"}
+    assert found("art") == {1: "art"} and found("(The ART of war!)") == {1: "art", 3: "the art of war"}
+    assert found("") == found(None) == {}
+
+
+def test_contexts_discover_what_the_base_patterns_miss(spark):
+    rng = random.Random(11)
+    seeds = [f"please call tel +1 (415) 555-{1000 + i} today" for i in range(30)]
+    seeds += [f"you can mail to user{i}@example.org if needed" for i in range(30)]
+    hidden = [f"please call tel (487) 555-{7000 + i} today" for i in range(5)]
+    hidden += [f"please call tel 0171 234 {5678 + i} today" for i in range(5)]
+    hidden += [f"you can mail to {n}@localhost if needed" for n in ("anna", "bob7", "carl.b", "dora_x", "eve")]
+    other = [f"we sold {7000 + rng.randrange(999)} of 12 345 items in 2019 for (3) days" for _ in range(30)]
+    texts = seeds + hidden + other
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal_data.digest(personal_data.find_personal_data(docs)).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        m = re.search(r"(?:tel|mail to) (.*?) (?:today|if)", text)
+        want[i] = f"{'phone' if 'tel' in text else 'email'}:{m.start(1)}:{m.end(1)}" if m else ""
+    assert got == want
+
+
+def test_added_spans_keep_clear_of_many_base_matches(spark):
+    text = " ".join(["tel +1 (415) 555-1000 x"] * 3000 + ["tel 0171 234 5678 x"] * 300)
+    seeds = [f"tel +1 (415) 555-{1000 + i} x" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate([text, *seeds])), "doc_id long, text string")
+    row = {r["doc_id"]: r for r in personal_data.find_personal_data(docs).collect()}[0]
+    assert len(row["phone"]) == 3000 and len(row["added"]) == 300
+    assert {text[a["start"] : a["end"]] for a in row["added"]} == {"0171 234 5678"}

@@ -75,6 +75,29 @@ def test_near_copies_meet_and_others_do_not(spark):
     assert got == {i: first[g] for i, g in group.items()}
 
 
+def five(words):
+    return set(zip(*(words[i:] for i in range(5))))
+
+
+def test_nine_in_ten_near_copies_are_found(spark):
+    # pairs of a similarity of 0.8 or more on shingles of five words
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in WORDS[:60] for b in "abcdefghijklmnopqrst"]
+    rows, pairs = [], []
+    while len(pairs) < 150:
+        base = rng.choices(vocabulary, k=rng.randrange(150, 600))
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randrange(1, len(base) // 45 + 1)):
+            copy[at] = rng.choice(vocabulary)
+        a, b = five(base), five(copy)
+        if len(a & b) / len(a | b) >= 0.8:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] in (i, i - 1) for i in got)  # nothing else is linked
+
+
 def test_many_copies_of_one_text(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text for all of us here").alias("text"))
     assert [r[0] for r in near_groups(docs).select("component_id").distinct().collect()] == [0]
@@ -118,6 +141,42 @@ def test_a_crowd_of_one_fingerprint_that_is_unlike_elsewhere(spark, monkeypatch,
     assert got == {frozenset((2 * i, 2 * i + 1)) for i in range(60)}
 
 
+def linked(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(r.a)] = find(r.b)
+    return find
+
+
+@pytest.mark.parametrize("crowd", [0, 80])
+def test_an_unrelated_crowd_costs_no_links(spark, monkeypatch, crowd):
+    # twenty small groups hold two near nodes each; a crowd of unlike nodes ends the rounds of splitting
+    monkeypatch.setattr(simhash, "FOLD", 8)
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for _ in range(20):
+        low = rng.getrandbits(32)
+        for _ in range(2):
+            a = [low | rng.getrandbits(32) << 32, rng.getrandbits(64), rng.getrandbits(64)]
+            flip = lambda f, n, at: f ^ sum(1 << b for b in rng.sample(range(at, 64), n))
+            b = [flip(a[0], 7, 32), flip(a[1], 8, 0), flip(a[2], 8, 0)]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [three(len(rows), *a), three(len(rows) + 1, *b)]
+        for _ in range(6):
+            rows.append(three(len(rows), low | rng.getrandbits(32) << 32, rng.getrandbits(64), rng.getrandbits(64)))
+    for _ in range(crowd):
+        rows.append(three(len(rows), 99 | rng.getrandbits(32) << 32, rng.getrandbits(64), rng.getrandbits(64)))
+    nodes = spark.createDataFrame(rows, "node long, fps array<long>")
+    find = linked(simhash.node_links(nodes, 0, 3, 23).collect(), [r[0] for r in rows])
+    assert sum(find(a) == find(b) for a, b in pairs) == len(pairs) == 40
+
+
 def test_representatives_are_chosen_row_by_row(spark):
     rng = random.Random(5)
     own = [" ".join(rng.choices(WORDS, k=200)) for _ in range(6)]
