@@ -8,8 +8,11 @@ agree in a register with a probability equal to their similarity, apart from col
 unequal rests, for which the estimate is corrected.
 
 Bands of six registers propose pairs.  In each band the members meet their smallest
-member first; members that stay apart from it meet each other in blocks.  Pairs whose
-estimate is high enough are verified on the whole sets, and only verified links count.
+member first.  Members of a band that are not connected by then meet each other in blocks;
+a pair is looked at in the first band it shares only, and not if its members have become
+connected in the task, so a block gives fewer links than it has members.  Pairs whose
+estimate is high enough are verified on the whole sets, as 64-bit hashes of all shingles,
+and only verified links count.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ BANDS, ROWS = 42, 6
 #: An estimate may fall short of the similarity by this much, four times its deviation for
 #: sets of ``LARGE`` shingles; smaller sets also lose shingles that share a bucket.
 SLACK, SMALL_SLACK, LARGE = 0.1, 0.15, 256
-#: Members of a band compared as one block, and the best partners a member proposes at first.
-BLOCK, PARTNERS = 1000, 8
+#: Members of a band compared as one block.
+BLOCK = 500
 
 
 def shingle_set(text: str | None, shingle: int = 2) -> set[bytes]:
@@ -55,10 +58,25 @@ def _orders() -> np.ndarray:
     return np.argsort(np.array(marks, np.uint64).reshape(REGISTERS, REGISTERS), axis=1)
 
 
-def sketch(shingles: Iterable[bytes], seed: int = 0) -> np.ndarray:
-    """The registers of a set that is not empty: leading zeros plus one, then the mantissa."""
+def hashed(shingles: Iterable[bytes], seed: int = 0) -> np.ndarray:
+    """The hashes of a set's shingles in ascending order."""
     hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
     hashes.sort()
+    return hashes
+
+
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two sets of hashes have a similarity of ``percent`` / 100 or more."""
+    if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
+        return False
+    at = np.searchsorted(left, right)
+    common = int((left[np.minimum(at, len(left) - 1)] == right).sum())
+    return 100 * common >= percent * (len(left) + len(right) - common)
+
+
+def sketch(shingles: Iterable[bytes], seed: int = 0) -> np.ndarray:
+    """The registers of a set that is not empty: leading zeros plus one, then the mantissa."""
+    hashes = hashed(shingles, seed)
     bucket, first = np.unique((hashes >> np.uint64(56)).astype(np.int64), return_index=True)
     rest = ((hashes[first] & np.uint64((1 << 56) - 1)) >> np.uint64(3)).astype(np.float64)
     fraction, length = np.frexp(rest)  # 53 bits are exact in a double
@@ -155,12 +173,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return map_rows(met, [F.col(c) for c in ("a", "b", "ra", "rb", "na", "nb")], "a long, b long", rows)
 
 
-def _verified(
-    pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int
+def _hashes(
+    nodes: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int
 ) -> DataFrame:
-    """The pairs whose whole sets are similar enough; each node's text is fetched once."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = ends.join(sets, "node").select(
+    """(node, hashes) of the whole sets of ``nodes``, from the text of one row of each."""
+    need = nodes.join(sets, "node").select(
         "node", F.col("lowest.doc_id").alias("_id"), F.col("lowest.row_hash").alias("_hash"), F.col("digest").alias("_digest")
     )
     rows = docs.select(*_texts(docs, id_col, text_col))
@@ -168,35 +185,42 @@ def _verified(
 
     def own(each: Iterable[tuple]) -> Iterator[tuple]:
         for node, digest, text in each:
-            if _digest(shingle_set(text, shingle)) == digest:
-                yield node, text
+            found = shingle_set(text, shingle)
+            if _digest(found) == digest:
+                yield node, hashed(found).tobytes()
 
     met = rows.join(need, same)
-    texts = map_rows(met, [F.col("node"), F.col("_digest"), F.col("text")], "node long, text string", own)
-    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    found = map_rows(met, [F.col(c) for c in ("node", "_digest", "text")], "node long, hashes binary", own)
+    return found.groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
 
     def check(each: Iterable[tuple]) -> Iterator[tuple]:
-        last, left = None, set()
         for a, b, first, second in each:
-            if a != last:
-                last, left = a, shingle_set(first, shingle)
-            right = shingle_set(second, shingle)
-            common = len(left & right)
-            if 100 * common >= percent * (len(left) + len(right) - common):
+            if similar(np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64), percent):
                 yield a, b
 
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("_second"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("_first"))
+    b = hashes.select(F.col("node").alias("b"), F.col("hashes").alias("_second"))
+    a = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("_first"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "_first", "_second")
     return map_rows(both, [F.col(c) for c in both.columns], "a long, b long", check)
 
 
-def _apart(mixed: DataFrame, share: float, most: int | None) -> DataFrame:
-    """(a, b, more): likely pairs of one band whose members are not connected yet.
+def _first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which each row of ``left`` agrees with ``right``; they share one."""
+    width = BANDS * ROWS
+    equal = (left[:, :width] == right[:width]).reshape(len(left), BANDS, ROWS)
+    return equal.all(axis=2).argmax(axis=1)
+
 
-    ``mixed`` has rows (key, node, root, n_band, registers, n).  A band is cut into blocks, and
-    each pair of blocks is compared by one task, which gives the ``most`` best partners
-    of a member (None for all); ``more`` tells that there were others.
+def _apart(mixed: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between members of one band that are not connected yet.
+
+    ``mixed`` has rows (key, band, node, root, n_band, registers, n, hashes).  A band is cut into
+    blocks, and each pair of blocks is compared by one task.  Likelier pairs come first;
+    members that a link connects count as one from then on.
     """
     blocks = F.ceil(F.col("n_band") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -204,7 +228,7 @@ def _apart(mixed: DataFrame, share: float, most: int | None) -> DataFrame:
         "*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     ).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root",
-        "registers", "n",
+        "registers", "n", "band", "hashes",
     )
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
 
@@ -215,18 +239,39 @@ def _apart(mixed: DataFrame, share: float, most: int | None) -> DataFrame:
             if (root == root[0]).all():
                 continue
             registers = np.frombuffer(b"".join(r[6] for r in held), np.uint16).reshape(len(held), REGISTERS)
+            pairs = []
             for x in np.flatnonzero(owner == i):
                 y = np.flatnonzero((owner == j) & (root != root[x]) & ((node > node[x]) | (i != j)))
                 if not len(y):
                     continue
                 close = estimate(registers[y], registers[x], n[y], n[x])
-                best = np.argsort(-close, kind="stable")
-                best = best[likely(close, n[y], n[x], share)[best]]
-                more = most is not None and len(best) > most
-                for z in y[best[:most]]:
-                    yield min(node[x], node[z]).item(), max(node[x], node[z]).item(), more
+                good = likely(close, n[y], n[x], percent / 100)
+                good[good] = _first_shared(registers[y[good]], registers[x]) == held[x][8]
+                pairs += zip(close[good].tolist(), [int(x)] * int(good.sum()), y[good].tolist())
+            yield from _connect(pairs, node, root, [r[9] for r in held], percent)
+
+    return map_rows(met, [F.col(c) for c in met.columns], "a long, b long", compare)
 
-    return map_rows(met, [F.col(c) for c in met.columns], "a long, b long, more boolean", compare)
+
+def _connect(pairs: list[tuple], node: np.ndarray, root: np.ndarray, hashes: list[bytes], percent: int) -> Iterator[tuple]:
+    """Of (estimate, x, y), the verified pairs whose members no earlier one has connected."""
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (above := up.get(r, r)) != r:
+            up[r] = up.get(above, above)
+            r = above
+        return r
+
+    sets: dict[int, np.ndarray] = {}
+    for _, x, y in sorted(pairs, reverse=True):
+        a, b = find(int(root[x])), find(int(root[y]))
+        if a == b:
+            continue
+        left, right = (sets.setdefault(z, np.frombuffer(hashes[z], np.uint64)) for z in (x, y))
+        if similar(left, right, percent):
+            up[a] = b
+            yield int(node[x]), int(node[y])
 
 
 def similarity_groups(
@@ -239,10 +284,9 @@ def similarity_groups(
     reachable by links.  A document without words is linked with nothing and stands for
     itself, as does a null text.  A null id gives a component its id only if there is no
     other.  Repeated rows belong to one component and are marked alike.  Texts are
-    read whole; a task holds the sets of two at a time.  An empty table gives no rows;
+    read whole; a task holds one text, or the hashes of a block's sets.  An empty table gives no rows;
     other columns are ignored.
     """
-    share = percent / 100
     found = stored(sketches(docs, id_col, text_col, shingle), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
     sets = stored(
@@ -258,29 +302,25 @@ def similarity_groups(
             yield node, band_keys(registers)
 
     bands = stored(map_rows(sets, [F.col("node"), F.col("registers")], "node long, keys array<long>", keys), "bands")
-    members = bands.select("node", F.explode("keys").alias("key"))
+    members = bands.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("node").alias("n_band")).filter("n_band > 1")
-    met = stored(members.join(sizes, "key").select("key", "node", "lead", "n_band"), "met")
+    met = stored(members.join(sizes, "key").select("key", "band", "node", "lead", "n_band"), "met")
+    hashes = stored(_hashes(met.select("node").distinct(), sets, docs, id_col, text_col, shingle), "hashes")
     stars = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    seen = stored(_likely(stars, sets, share), "likely")
-    links = stored(_verified(seen, sets, docs, id_col, text_col, shingle, percent), "links")
-    # the best partners of a member connect most of what belongs together, and a second
-    # round looks at all others that are still apart
-    for most in (PARTNERS, None):
-        # bands whose members are not all connected, though more than two: compare those still apart
-        roots = components(links).select(F.col("node").alias("_node"), "root")
-        placed = met.filter("n_band > 2").join(roots, F.col("node") == F.col("_node"), "left")
-        placed = stored(placed.select("key", "node", "n_band", F.coalesce("root", "node").alias("root")), "placed")
-        open_bands = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
-        mixed = placed.join(open_bands.select("key"), "key", "left_semi").join(sets.select("node", "registers", "n"), "node")
-        proposed = stored(_apart(mixed, share, most), "apart")
-        new = stored(proposed.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "new")
-        if not new.isEmpty():
-            links = stored(links.unionByName(_verified(new, sets, docs, id_col, text_col, shingle, percent)), "links")
-            seen = stored(seen.unionByName(new), "seen")
-        if proposed.filter("more").isEmpty():
-            break
-    roots = components(links).select(F.col("node").alias("_node"), "root")
+    links = stored(_verified(_likely(stars, sets, percent / 100), hashes, percent), "links")
+    roots = stored(components(links).withColumnRenamed("node", "_node"), "roots")
+    # bands of more than two members that are not all connected
+    placed = met.filter("n_band > 2").join(roots, F.col("node") == F.col("_node"), "left")
+    placed = stored(placed.select("key", "band", "node", "n_band", F.coalesce("root", "node").alias("root")), "placed")
+    open_bands = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi")
+    mixed = (
+        placed.join(open_bands.select("key"), "key", "left_semi")
+        .join(sets.select("node", "registers", "n"), "node")
+        .join(hashes, "node")
+    )
+    added = stored(_apart(mixed, percent), "links")
+    if not added.isEmpty():
+        roots = stored(components(links.unionByName(added)).withColumnRenamed("node", "_node"), "roots")
     linked = sets.join(roots, F.col("node") == F.col("_node"), "left").select(
         "digest", "lowest", F.coalesce("root", "node").alias("root")
     )

@@ -53,7 +53,6 @@ def corpus(seed):
 @pytest.mark.parametrize("block", [1000, 3])
 def test_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(hm, "BLOCK", block)
-    monkeypatch.setattr(hm, "PARTNERS", 1 if block == 3 else 8)
     rows = corpus(block)
     got = similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
