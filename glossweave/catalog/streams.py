@@ -11,7 +11,7 @@ from glossweave.functions.text import fingerprint
 from glossweave.session import scratch_path, stored
 from glossweave.sources import read_event_stream
 from glossweave.streaming import keyed, operators as st
-from glossweave.streaming.sinks import append_result, routed_result, start_append, start_updates, update_result
+from glossweave.streaming.sinks import append_result, routed_result, start_append, start_routed, start_updates, update_result
 
 # A window or session is emitted once the newest event is a delay past its end.
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL '1 hour'"
@@ -121,37 +121,72 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
     return stored(_in_blocks(spark, sf, 8, 4).withColumn("arrival", F.least(F.lit(3), F.col("block") + late)), "arrivals")
 
 
-@query(
-    f"""WITH b AS ({_ARRIVALS_SQL}),
+def _kept_sql(until: str) -> str:
+    """The rows that are not late: whose ``until`` is past the watermark of the files before theirs."""
+    return f"""b AS ({_ARRIVALS_SQL}),
       seen AS (SELECT j, max(ts) - INTERVAL '1 hour' AS wm FROM b JOIN (SELECT unnest([1, 2, 3]) AS j) ON arrival < j GROUP BY j),
-      kept AS (SELECT b.* FROM b LEFT JOIN seen ON arrival = j WHERE wm IS NULL OR ts > wm)
+      kept AS (SELECT b.* FROM b LEFT JOIN seen ON arrival = j WHERE wm IS NULL OR {until} > wm)"""
+
+
+def _in_turns(spark: SparkSession, sf: str, start, make, first: int = 0) -> tuple[str, str]:
+    """Append the arrivals file by file and work each off before the next; output and checkpoint."""
+    rows = _arrivals(spark, sf)
+    folder, out, log = (scratch_path(spark, name) for name in ("events", "turns", "turns_log"))
+    for j in range(first, 4):
+        rows.filter(F.col("arrival") == j).drop("block", "arrival").write.mode("append").parquet(folder)
+        start(make(read_event_stream(spark, folder, "*.parquet"), rows), out, log).awaitTermination()
+    return out, log
+
+
+@query(
+    f"""WITH {_kept_sql("date_trunc('hour', ts) + INTERVAL '1 hour'")}
+      {_windows_sql("[date_trunc('hour', ts)]", "1 hour").replace("unnest([date_trunc('hour', ts)]) AS w FROM events", "unnest([date_trunc('hour', ts)]) AS w FROM kept")}"""
+)
+def stream_metrics_in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly metrics of events that arrive in four files, some of them after their window has closed."""
+    out, _ = _in_turns(spark, sf, start_append, lambda s, _: st.stream_metrics(s, "1 hour", quantiles=False))
+    return _zoneless(spark.read.parquet(out))
+
+
+@query(
+    f"""WITH {_kept_sql("ts + INTERVAL '2 hours'")}
+      SELECT * FROM ({SESSIONS_SQL.format(gap="'2 hours'").replace("FROM events", "FROM kept")}) WHERE session_end <= {_CLOSED}"""
+)
+def stream_sessions_in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of events that arrive in four files, some of them too late."""
+    out, _ = _in_turns(spark, sf, start_append, lambda s, _: st.stream_sessions(s, "2 hours"))
+    return _zoneless(spark.read.parquet(out))
+
+
+@query(f"SELECT target, count(*) AS n, sum(event_id)::BIGINT AS ids FROM ({ROUTES_SQL}) GROUP BY 1")
+def stream_route_in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in four files, each event in its target's folder once."""
+    out, _ = _in_turns(spark, sf, start_routed, lambda s, _: st.stream_route(s))
+    return spark.read.parquet(out).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    f"""WITH {_kept_sql("ts")}
       SELECT user_id, session_end - INTERVAL '{_TTL_HOURS} hours' AS last_use, session_end AS expired_at, n_events AS n_uses
       FROM ({SESSIONS_SQL.format(gap=f"'{_TTL_HOURS} hours'").replace("FROM events", "FROM kept")})
       WHERE session_end <= {_CLOSED}"""
 )
 def stream_expire_timers(spark: SparkSession, sf: str) -> DataFrame:
     """Expiries by timers over events that arrive in four files, some of them too late."""
-    rows = _arrivals(spark, sf)
-    folder, out, log = (scratch_path(spark, name) for name in ("events", "expired", "expired_log"))
     with keyed.rocksdb_state(spark):
-        for j in range(4):
-            rows.filter(F.col("arrival") == j).drop("block", "arrival").write.mode("append").parquet(folder)
-            stream = keyed.stream_expire_timers(read_event_stream(spark, folder, "*.parquet"), _TTL_HOURS * 3600)
-            start_append(stream, out, log).awaitTermination()
+        out, _ = _in_turns(spark, sf, start_append, lambda s, _: keyed.stream_expire_timers(s, _TTL_HOURS * 3600))
     return _zoneless(spark.read.parquet(out))
 
 
 @query(CURRENT_SQL)
 def stream_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
     """State loaded from a table of the first block, updated by three more, and read from the store."""
-    rows = _arrivals(spark, sf)
-    folder, out, log = (scratch_path(spark, name) for name in ("events", "state", "state_log"))
-    snapshot = stored(keyed.state_snapshot(rows.filter("arrival = 0")), "snapshot")
+
+    def make(stream: DataFrame, rows: DataFrame) -> DataFrame:
+        return keyed.stream_keyed_state(stream, keyed.state_snapshot(rows.filter("arrival = 0")))
+
     with keyed.rocksdb_state(spark):
-        for j in range(1, 4):
-            rows.filter(F.col("arrival") == j).drop("block", "arrival").write.mode("append").parquet(folder)
-            stream = keyed.stream_keyed_state(read_event_stream(spark, folder, "*.parquet"), snapshot)
-            start_updates(stream, out, log).awaitTermination()
+        _, log = _in_turns(spark, sf, start_updates, make, first=1)
     return _zoneless(keyed.stored_state(spark, log))
 
 

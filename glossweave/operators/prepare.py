@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import (
+    HashingTF,
+    Normalizer,
+    RegexTokenizer,
+    SQLTransformer,
+    StandardScaler,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -132,20 +139,44 @@ def classify_text(
     return df.withColumn("text_class", chosen.otherwise(default))
 
 
+#: Figures of a text's structure, as SQL expressions.
+STRUCTURE = {
+    "_length": "log1p(length(text))",
+    "_letters": r"length(regexp_replace(text, '\\P{L}', '')) / (1 + length(text))",
+    "_digits": "length(regexp_replace(text, '[^0-9]', '')) / (1 + length(text))",
+    "_capitals": r"length(regexp_replace(text, '\\P{Lu}', '')) / (1 + length(text))",
+    "_marks": r"length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '')) / (1 + length(text))",
+    "_distinct": r"size(array_distinct(split(lower(text), '\\s+'))) / size(split(text, '\\s+'))",
+    "_word": r"length(text) / size(split(text, '\\s+'))",
+    "_lines": r"size(array_distinct(split(text, '\n'))) / size(split(text, '\n'))",
+    "_sentence": "length(text) / size(split(text, '[.!?]'))",
+}
+
+
 def train_text_classifier(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
     features: int = 1 << 14,
-    max_iter: int = 20,
+    max_iter: int = 40,
 ) -> PipelineModel:
-    """Fit a bag-of-words logistic regression on the labelled documents."""
+    """Fit a logistic regression on the labelled documents.
+
+    Features are the hashed words of a text, of unit length, and figures of its structure
+    (``STRUCTURE``), scaled to unit deviation.
+    """
     train = docs.select("doc_id", "text").join(
         labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id"
     )
+    figures = ", ".join(f"coalesce(CAST({e} AS double), 0.0) AS {n}" for n, e in STRUCTURE.items())
     stages = [
+        SQLTransformer(statement=f"SELECT *, {figures} FROM __THIS__"),
         RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\p{L}+", gaps=False),
-        HashingTF(inputCol="_w", outputCol="features", numFeatures=features),
+        HashingTF(inputCol="_w", outputCol="_counts", numFeatures=features),
+        Normalizer(inputCol="_counts", outputCol="_words"),
+        VectorAssembler(inputCols=list(STRUCTURE), outputCol="_structure"),
+        StandardScaler(inputCol="_structure", outputCol="_scaled", withMean=True),
+        VectorAssembler(inputCols=["_words", "_scaled"], outputCol="features"),
         LogisticRegression(maxIter=max_iter, regParam=0.01, standardization=False),
     ]
     return Pipeline(stages=stages).fit(train)
