@@ -81,7 +81,7 @@ def test_a_use_between_two_runs_joins_them(spark):
 
 
 def test_state_goes_on_from_a_snapshot(spark):
-    first, *rest = batches([4, 3, 3])
+    first, *rest = batches([5, 2, 3])
     snapshot = keyed.state_snapshot(frame(spark, first))
     late = [(99, 5, 1, "late"), (100, None, 1, "never")]  # older than what is known: changes nothing
     out, log = run_in_turns(
