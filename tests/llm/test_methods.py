@@ -373,3 +373,22 @@ def test_added_spans_keep_clear_of_many_base_matches(spark):
     row = {r["doc_id"]: r for r in personal_data.find_personal_data(docs).collect()}[0]
     assert len(row["phone"]) == 3000 and len(row["added"]) == 300
     assert {text[a["start"] : a["end"]] for a in row["added"]} == {"0171 234 5678"}
+
+
+def test_equal_rows_are_spread_over_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from glossweave.llm import mixing
+
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("five words in each row").alias("text"),
+        F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source"),
+    )
+    numbered = mixing._numbered(rows.select("doc_id", F.lit(5).cast("long").alias("size"), "source"))
+    assert numbered.count() == 6000 and numbered.distinct().count() == 6000
+    plan = mix(rows)
+    assert plan.columns == ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    first, again = (sorted(map(str, map(tuple, p.collect()))) for p in (plan, mix(rows.repartition(5))))
+    assert first == again and len(first) == 6000
+    for source in plan.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(source["taken"] - source["target"]) <= 10
