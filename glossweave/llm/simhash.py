@@ -95,6 +95,9 @@ def near_pairs(fps: DataFrame) -> DataFrame:
 def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of fingerprints (fp) within ``radius`` bits whose cells are within distance two.
 
+    Fingerprints with the same ``root`` (a column that may be there, and null) are connected
+    already and give no pair.
+
     With unit steps e_i, two cells within distance two are equal, or one is the other
     plus e_i, or they differ by e_i + e_j (i <= j) or e_i - e_j (i < j), up to exchange.
     The left side goes to its own cell and to every cell + e_i; the right side to its
@@ -115,7 +118,10 @@ def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
                 for delta, sign, i in targets
             ]
         )
-        return cells.select(F.col("fp").alias(side), "cell").select(side, F.inline(places))
+        known = [F.col("root").alias(f"{side}_root")] if "root" in cells.columns else []
+        return cells.select(F.col("fp").alias(side), "cell", *known).select(
+            side, *[f"{side}_root" for _ in known], F.inline(places)
+        )
 
     left = sent("a", [(0, 0, 0), *[(moved + s, 1, i) for i, s in enumerate(step)]])
     right = sent(
@@ -134,6 +140,8 @@ def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
         .otherwise(F.col("a_i") < F.col("b_i"))
     )
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    if "root" in cells.columns:
+        close = F.coalesce(F.col("a_root") != F.col("b_root"), F.lit(True)) & close
     met = left.withColumnRenamed("cell", "a_cell").join(
         right, (F.col("a_cell") == F.col("cell")) & close & once
     )
@@ -208,21 +216,34 @@ def _leaders(members: DataFrame, views: int, limit: int) -> DataFrame:
     )
 
 
-def _block_pairs(members: DataFrame, views: int, limit: int) -> DataFrame:
-    """Links (a, b) between the nodes of a group of ``n``, compared block by block."""
+def _between_roots(members: DataFrame, views: int, limit: int) -> DataFrame:
+    """Links (a, b) between nodes of one (view, half) that are not connected yet.
+
+    A group whose nodes all have one root has none.  In the others, the nodes outside the
+    most frequent root are compared with all nodes of another root, block by block.
+    """
+    group = ["view", "half"]
+    per_root = members.groupBy(*group, "root").agg(F.count("node").alias("n"))
+    mixed = stored(
+        per_root.groupBy(*group)
+        .agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n_most"))
+        .filter("n > n_most"),
+        "mixed",
+    )
     blocks = F.ceil(F.col("n") / FOLD).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.select("view", "half", "node", "fps", blocks.alias("blocks"), own.alias("own"))
-    left = rows.select(
-        "view", "half", F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("own").alias("i"),
-        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"),
+    few_blocks = F.ceil((F.col("n") - F.col("n_most")) / FOLD).cast("int")
+    rows = stored(members.join(mixed, group), "unlike")
+    own = F.xxhash64("node")
+    left = rows.filter("root != most").select(
+        *group, F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("root").alias("ra"),
+        F.pmod(own, few_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"),
     )
     right = rows.select(
-        "view", "half", F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("own").alias("j"),
-        F.explode(F.sequence(F.lit(0), "own")).alias("i"),
+        *group, F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("root").alias("rb"), (F.col("root") == F.col("most")).alias("many"),
+        F.pmod(own, blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), few_blocks - 1)).alias("i"),
     )
-    once = (left["i"] < left["j"]) | (F.col("a") < F.col("b"))
-    same = [left[c] == right[c] for c in ("view", "half", "i", "j")]
+    once = (F.col("ra") != F.col("rb")) & (F.col("many") | (F.col("a") < F.col("b")))
+    same = [left[c] == right[c] for c in (*group, "i", "j")]
     close = _differ(F.col("fa"), F.col("fb"), views) <= limit
     return left.join(right, same[0] & same[1] & same[2] & same[3] & once & close).select("a", "b")
 
@@ -238,10 +259,10 @@ def node_links(nodes: DataFrame, at: int, views: int, limit: int, radius: int =
     Nodes are compared if they share a half of fingerprint ``at`` or differ in at most
     ``radius`` (at most five) of its bits.  Of five differing bits, one 32-bit half holds
     two at most, so both halves are joined through the popcount grid of their 2-bit
-    segments.  A node gives way to a leader of its half only if the two are linked; all
-    others enter the join.  A large group of near copies gives a number of links in
-    proportion to its size.  The links connect whatever leaders and members connect;
-    they are not all pairs.
+    segments.  First the leaders of each half connect most of a group of near copies by a
+    number of links in proportion to its size.  Then all nodes that this has not connected
+    are compared, those that gave way to a leader as well, so the links connect whatever
+    all pairs within the limit connect; they are not all pairs.
     """
     fp = F.col("fps")[at]
     halves = F.explode(
@@ -251,23 +272,14 @@ def node_links(nodes: DataFrame, at: int, views: int, limit: int, radius: int =
         )
     ).alias("h")
     members = stored(nodes.select("node", "fps", halves).select("node", "fps", "h.view", "h.half"), "halves")
-    links = []
-    before = None
+    everyone, links, before = members, [], None
     while True:
         # groups of many members are split, and their leaders meet in the next round
         sizes = members.groupBy("view", "half").agg(F.count("node").alias("n")).filter(f"n > {FOLD}")
         crowded = stored(sizes, "crowded")
         largest = crowded.agg(F.max("n")).first()[0] or 0
         if largest and before and 2 * largest > before:
-            # crowds of unlike nodes: all of them are compared, block by block; the parts of
-            # all other groups meet in a last round, as they are small now
-            links.append(_block_pairs(members.join(crowded, ["view", "half"]), views, limit))
-            met = stored(_leaders(members.join(crowded, ["view", "half"], "left_anti"), views, limit), "leaders")
-            links.append(met.select(F.inline("met.links")))
-            members = members.join(crowded, ["view", "half"], "left_semi").select("node", "fps", "view", "half").unionByName(
-                met.select(F.explode("met.leaders").alias("led"), "view", "half").select("led.*", "view", "half")
-            )
-            break
+            break  # crowds of unlike nodes, which leaders do not thin out
         split = members
         if largest:
             parts = F.ceil(F.coalesce("n", F.lit(1)) / (FOLD // 2))
@@ -280,10 +292,14 @@ def node_links(nodes: DataFrame, at: int, views: int, limit: int, radius: int =
         if not largest:
             break
         before = largest
-    cells = members.select(
-        fp.alias("fp"), (cell_of(F.col("half"), 2) + F.col("view") * (1 << 50)).alias("cell")
-    ).distinct()
-    holders = members.select(fp.alias("fp"), "node", "fps").distinct()
+    links = [stored(union_all(links).distinct(), "led")]
+    everyone = stored(everyone.join(components(links[0]), "node", "left"), "rooted")
+    links.append(_between_roots(everyone.withColumn("root", F.coalesce("root", "node")), views, limit))
+    # a fingerprint has a root if all its nodes have that one
+    one_root = F.when(F.min(F.coalesce("root", "node")) == F.max(F.coalesce("root", "node")), F.min("root"))
+    cells = everyone.withColumn("fp", fp).withColumn("cell", cell_of(F.col("half"), 2) + F.col("view") * (1 << 50))
+    cells = cells.groupBy("fp", "cell").agg(one_root.alias("root"))
+    holders = nodes.select(fp.alias("fp"), "node", "fps")
     a = holders.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("fps").alias("fa"))
     b = holders.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("fps").alias("fb"))
     close = _differ(F.col("fa"), F.col("fb"), views) <= limit

@@ -177,6 +177,28 @@ def test_an_unrelated_crowd_costs_no_links(spark, monkeypatch, crowd):
     assert sum(find(a) == find(b) for a, b in pairs) == len(pairs) == 40
 
 
+@pytest.mark.parametrize("fold", [400, 2])
+def test_members_of_different_leaders_meet(spark, monkeypatch, fold):
+    # 3 gives way to 1 and 4 to 2; 1 and 2 are apart, and only 3 and 4 connect the two groups
+    monkeypatch.setattr(simhash, "FOLD", fold)
+    bits = lambda n: (1 << n) - 1
+    rows = [three(1, 5, 0, 0), three(2, 5, bits(36), 0), three(3, 5, bits(12), 0), three(4, 5, bits(24), 0)]
+    find = linked(simhash.node_links(spark.createDataFrame(rows, "node long, fps array<long>"), 0, 3, 23).collect(), range(1, 5))
+    assert len({find(n) for n in range(1, 5)}) == 1
+
+
+def test_members_that_gave_way_in_both_halves_enter_the_grid(spark):
+    # 3 gives way to 1 in its low half and to 2 in its high half; 4 is near to 3 only, and shares no half
+    bits = lambda n: (1 << n) - 1
+    high = bits(8) << 40
+    rows = [
+        three(1, 7, 0, 0), three(2, high | 7 ^ bits(8) << 8, 0, 0), three(3, high | 7, 0, 0), three(4, high | 7 ^ (1 << 20) ^ (1 << 60), bits(14), 0),
+    ]
+    assert [sum(apart(a, b) for a, b in zip(rows[3][1], r[1])) for r in rows[:3]] == [24, 24, 16]
+    find = linked(simhash.node_links(spark.createDataFrame(rows, "node long, fps array<long>"), 0, 3, 23).collect(), range(1, 5))
+    assert len({find(n) for n in range(1, 5)}) == 1
+
+
 def test_representatives_are_chosen_row_by_row(spark):
     rng = random.Random(5)
     own = [" ".join(rng.choices(WORDS, k=200)) for _ in range(6)]
