@@ -155,7 +155,7 @@ def stream_metrics_in_turns(spark: SparkSession, sf: str) -> DataFrame:
 def stream_sessions_in_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of events that arrive in four files, some of them too late."""
     out, _ = _in_turns(spark, sf, start_append, lambda s, _: st.stream_sessions(s, "2 hours"))
-    return _zoneless(spark.read.parquet(out))
+    return _zoneless(st.join_sessions(spark.read.parquet(out)))
 
 
 @query(f"SELECT target, count(*) AS n, sum(event_id)::BIGINT AS ids FROM ({ROUTES_SQL}) GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from glossweave.functions.text import fingerprint
 from glossweave.operators.state import EVENT_ROUTES, REJECT, current_state, route_events
@@ -45,7 +45,12 @@ def stream_metrics(
 
 
 def stream_sessions(stream: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Closed sessions (user_id, session_start, session_end, n_events); append mode."""
+    """Closed sessions (user_id, session_start, session_end, n_events); append mode.
+
+    A row is late only if its own session would have ended by the watermark, so a row can
+    still arrive that continues a session already emitted.  It then comes out as a part of
+    its own, which ``join_sessions`` puts together with the first.
+    """
     return (
         stream.withWatermark("ts", delay)
         .groupBy("user_id", F.session_window("ts", gap))
@@ -59,6 +64,28 @@ def stream_sessions(stream: DataFrame, gap: str, delay: str = "1 hour") -> DataF
     )
 
 
+def join_sessions(parts: DataFrame) -> DataFrame:
+    """Emitted sessions of ``stream_sessions`` with parts that touch or overlap made one.
+
+    A batch step on the finished output; a part the stream still holds open is not in it.
+    """
+    by_start = Window.partitionBy("user_id").orderBy("session_start", "session_end")
+    before = F.max("session_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(before >= F.col("session_start"), 0).otherwise(1)
+    numbered = parts.withColumn("_starts", starts).withColumn(
+        "_no", F.sum("_starts").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    return (
+        numbered.groupBy("user_id", "_no")
+        .agg(
+            F.min("session_start").alias("session_start"),
+            F.max("session_end").alias("session_end"),
+            F.sum("n_events").alias("n_events"),
+        )
+        .drop("_no")
+    )
+
+
 def stream_dedup(stream: DataFrame, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
     """One row per key inside the watermark; append mode."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))

@@ -115,3 +115,13 @@ def test_each_event_gets_the_entry_valid_at_its_time(spark):
     got = {r.event_id: r.target for r in spark.read.parquet(out).collect()}
     # dog is learnt after it was asked, and cat's last entry is over an hour old at 130
     assert got == {10: "T1", 11: None, 12: "T2", 13: "T1", 14: None, 15: "T4"}
+
+
+def test_a_session_continued_after_it_was_emitted_is_one(spark):
+    # user 1's first use is emitted by the row at 300; its second is late, but its session is still open then
+    steps = [{"e": [(0, 100, 1, "view"), (1, 300, 2, "view")]}, {"e": [(2, 130, 1, "view"), (3, 900, 2, "view")]}]
+    out, _ = run_in_turns(spark, steps, start_append, lambda s: st.stream_sessions(s["e"], "2 hours"))
+    parts = spark.read.parquet(out)
+    assert parts.filter("user_id = 1").count() == 2
+    got = [(r.user_id, r.n_events, (r.session_end - r.session_start).seconds // 60) for r in st.join_sessions(parts).collect()]
+    assert sorted(got) == [(1, 2, 150), (2, 1, 120)]
