@@ -171,3 +171,19 @@ def test_nearest_style_lsh_never_invents(spark):
     exact = {(r.query_id, r.match_id): r.similarity for r in style.nearest_style(df, df, 59).collect()}
     for r in style.nearest_style_lsh(df, df, 3, 1.0).collect():
         assert exact[(r.query_id, r.match_id)] == pytest.approx(r.similarity, abs=1e-5)
+
+
+@pytest.mark.parametrize("form", ["cells", "lsh"])
+def test_nearest_style_copies_do_not_grow_with_small_cells(spark, monkeypatch, form):
+    # vectors without clusters: every cell can hold a result of every query
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent, keep = [], style.stored
+    monkeypatch.setattr(style, "stored", lambda part, name: sent.append((name, keep(part, name))) or sent[-1][1])
+    if form == "cells":
+        found = style.nearest_style(df, df, 3, block=4)
+    else:
+        found = style.nearest_style_lsh(df, df, 3, 1.4)
+    assert found.groupBy("query_id").count().count() == 600
+    assert 600 <= dict(sent)["queries"].count() <= 600 * 2 * style.LEAST_SHARDS
