@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from glossweave.operators.mondrian import narrow_groups
 from glossweave.operators.privacy import anonymize_groups, information_loss
 
 SCHEMA = "id long, age long, pay double, town string"
@@ -54,3 +55,31 @@ def test_too_few_rows_and_none(spark):
     got = anonymize_groups(df, ["age", "pay"], 5).collect()
     assert len(got) == 3 and all(r[c] is None for r in got for c in RANGES)
     assert anonymize_groups(df.filter("1 = 0"), ["age", "pay"], 5).collect() == []
+
+
+def test_groups_fill_up_to_k_and_are_narrow(spark):
+    """No group is left that could be two, and the ranges are narrower than halving at medians makes them."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1000), rng.random(), "x") for i in range(760)]
+    found = anonymize_groups(spark.createDataFrame(rows, SCHEMA), ["age", "pay"], 25)
+    assert {r["group_size"] for r in found.select("group_size").distinct().collect()} <= set(range(25, 50))
+    assert found.select(*RANGES).distinct().count() == 30
+    assert information_loss(found, ["age", "pay"]).first()["loss"] < 0.19
+
+
+def test_large_groups_are_cut_at_once_and_counted(spark):
+    """Many parts from one tree; a tuple of very many rows and a k beyond a task's tuples are kept whole."""
+    rng = random.Random(7)
+    tuples = {(float(rng.randrange(300)), rng.random()): 1 for _ in range(6000)}
+    tuples[(150.0, 0.5)] = 9000
+    rows = [(*t, n) for t, n in tuples.items()]
+    df = spark.createDataFrame(rows, "_q0 double, _q1 double, _n long")
+    for k, local in ((5, 500), (700, 200), (20_000, 100)):
+        got = narrow_groups(df, ["_q0", "_q1"], [300.0, 1.0], k, local).collect()
+        assert sorted((r["_q0"], r["_q1"]) for r in got) == sorted(tuples)
+        sizes = Counter()
+        for r in got:
+            assert r["_q0_lo"] <= r["_q0"] <= r["_q0_hi"] and r["_q1_lo"] <= r["_q1"] <= r["_q1_hi"]
+            sizes[tuple(r[c] for c in ("_q0_lo", "_q0_hi", "_q1_lo", "_q1_hi", "_size"))] += tuples[r["_q0"], r["_q1"]]
+        assert all(n == key[-1] >= min(k, 15_000) for key, n in sizes.items())
+        assert len(sizes) == 1 if k == 20_000 else len(sizes) > (700 if k == 5 else 4)
