@@ -168,7 +168,8 @@ def classify_text(spark: SparkSession, sf: str) -> DataFrame:
 def train_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Every document is scored and predicted by its score, and labels that were held out are
     ranked with an area under the curve of 0.9 or more."""
-    docs, labels = d.documents(spark, sf), d.table(spark, sf, "labels")
+    labels = d.table(spark, sf, "labels")
+    docs = stored(prepare.text_features(d.documents(spark, sf)), "features")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = prepare.train_text_classifier(docs, labels.filter(~held_out))
     scored = stored(prepare.score_text(model, docs), "scored")

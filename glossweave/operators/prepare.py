@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.functions.text import sanitize
 from glossweave.plans.scale import HOT_ROWS, running_sum
+from glossweave.session import stored
 
 # (rule, pattern, replacement), applied in this order.
 ARTIFACT_RULES = [
@@ -142,17 +143,38 @@ def classify_text(
 #: Figures of a text's structure, as SQL expressions.
 STRUCTURE = {
     "_length": "log1p(length(text))",
-    "_letters": r"length(regexp_replace(text, '\\P{L}', '')) / (1 + length(text))",
-    "_digits": "length(regexp_replace(text, '[^0-9]', '')) / (1 + length(text))",
-    "_capitals": r"length(regexp_replace(text, '\\P{Lu}', '')) / (1 + length(text))",
-    "_marks": r"length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '')) / (1 + length(text))",
+    "_letters": r"length(regexp_replace(text, '\\P{L}+', '')) / (1 + length(text))",
+    "_digits": "length(regexp_replace(text, '[^0-9]+', '')) / (1 + length(text))",
+    "_capitals": r"length(regexp_replace(text, '\\P{Lu}+', '')) / (1 + length(text))",
+    "_marks": r"length(regexp_replace(text, '[\\p{L}\\p{N}\\s]+', '')) / (1 + length(text))",
     "_distinct": r"size(array_distinct(split(lower(text), '\\s+'))) / size(split(text, '\\s+'))",
+    "_repeats": r"regexp_count(text, '(?<!\\S)(\\S+)(?=\\s\\1(?!\\S))') / size(split(text, '\\s+'))",
+    "_bare": r"regexp_count(text, '(?<!\\S)[^\\p{L}\\s]+(?!\\S)') / size(split(text, '\\s+'))",
     "_word": r"length(text) / size(split(text, '\\s+'))",
     "_lines": r"size(array_distinct(split(text, '\n'))) / size(split(text, '\n'))",
     "_sentence": "length(text) / size(split(text, '[.!?]'))",
 }
 
 
+def text_features(docs: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """(doc_id, _words, figures): hashed words of unit length, and ``STRUCTURE``.
+
+    Store it if a model is to be fitted and applied, so that the texts are read once.
+    """
+    figures = ", ".join(f"coalesce(CAST({e} AS double), 0.0) AS {n}" for n, e in STRUCTURE.items())
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {figures} FROM __THIS__"),
+        RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\p{L}+", gaps=False),
+        HashingTF(inputCol="_w", outputCol="_counts", numFeatures=features),
+        Normalizer(inputCol="_counts", outputCol="_words"),
+    ]
+    return PipelineModel(stages=stages).transform(docs.select("doc_id", "text")).select("doc_id", "_words", *STRUCTURE)
+
+
+def _described(docs: DataFrame, features: int = 1 << 14) -> DataFrame:
+    return docs if "_words" in docs.columns else text_features(docs, features)
+
+
 def train_text_classifier(
     docs: DataFrame,
     labels: DataFrame,
@@ -160,20 +182,14 @@ def train_text_classifier(
     features: int = 1 << 14,
     max_iter: int = 40,
 ) -> PipelineModel:
-    """Fit a logistic regression on the labelled documents.
+    """Fit a logistic regression on the labelled documents, or on their stored ``text_features``.
 
     Features are the hashed words of a text, of unit length, and figures of its structure
     (``STRUCTURE``), scaled to unit deviation.
     """
-    train = docs.select("doc_id", "text").join(
-        labels.select("doc_id", F.col(label).cast("double").alias("label")), "doc_id"
-    )
-    figures = ", ".join(f"coalesce(CAST({e} AS double), 0.0) AS {n}" for n, e in STRUCTURE.items())
+    marked = labels.select("doc_id", F.col(label).cast("double").alias("label"))
+    train = stored(_described(docs.join(marked.select("doc_id"), "doc_id", "left_semi"), features), "features").join(marked, "doc_id")
     stages = [
-        SQLTransformer(statement=f"SELECT *, {figures} FROM __THIS__"),
-        RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\p{L}+", gaps=False),
-        HashingTF(inputCol="_w", outputCol="_counts", numFeatures=features),
-        Normalizer(inputCol="_counts", outputCol="_words"),
         VectorAssembler(inputCols=list(STRUCTURE), outputCol="_structure"),
         StandardScaler(inputCol="_structure", outputCol="_scaled", withMean=True),
         VectorAssembler(inputCols=["_words", "_scaled"], outputCol="features"),
@@ -183,8 +199,9 @@ def train_text_classifier(
 
 
 def score_text(model: PipelineModel, docs: DataFrame) -> DataFrame:
-    """Scores for all rows as (doc_id, predicted, score)."""
-    return model.transform(docs.select("doc_id", "text")).select(
+    """Scores for all rows, texts or their ``text_features``, as (doc_id, predicted, score)."""
+    size = model.stages[-1].numFeatures - len(STRUCTURE)
+    return model.transform(_described(docs, size)).select(
         "doc_id",
         F.col("prediction").cast("int").alias("predicted"),
         vector_to_array("probability")[1].alias("score"),

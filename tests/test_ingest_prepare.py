@@ -107,3 +107,26 @@ def test_text_classifier_learns_a_plain_rule(spark):
     labels = docs.filter("doc_id < 30").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     scored = prepare.score_text(prepare.train_text_classifier(docs, labels), docs).collect()
     assert len(scored) == 40 and all(r.predicted == r.doc_id % 2 for r in scored)
+
+
+def test_text_classifier_sees_repeats_and_takes_stored_features(spark):
+    """Few labels: words repeated in a row, or divided by bare marks, tell the held-out texts apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(i, n=20):
+        return [letters[(i * 7 + j * 3) % 26] + letters[(i + j * 5) % 26] * 2 + letters[(i * j) % 26] for j in range(n)]
+
+    def text(i):
+        if i % 6 == 0:
+            return " ".join(w for w in words(i, 10) for _ in range(2))
+        return " | ".join(words(i)) if i % 6 == 3 else " ".join([*words(i, 10), *reversed(words(i, 10))])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(90)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    described = prepare.text_features(docs)
+    first = described.filter("doc_id in (0, 3)").orderBy("doc_id").collect()
+    assert first[0]["_repeats"] == 0.5 and first[0]["_bare"] == 0 and first[1]["_bare"] == 19 / 39
+    model = prepare.train_text_classifier(described, labels.filter("doc_id < 60"))
+    scored = prepare.score_text(model, described)
+    assert prepare.ranking_quality(scored, labels.filter("doc_id >= 60")) > 0.95
+    assert sorted(scored.collect()) == sorted(prepare.score_text(model, docs).collect())
