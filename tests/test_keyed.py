@@ -125,3 +125,21 @@ def test_a_session_continued_after_it_was_emitted_is_one(spark):
     assert parts.filter("user_id = 1").count() == 2
     got = [(r.user_id, r.n_events, (r.session_end - r.session_start).seconds // 60) for r in st.join_sessions(parts).collect()]
     assert sorted(got) == [(1, 2, 150), (2, 1, 120)]
+
+
+def test_many_events_and_entries_of_one_text_form_no_pairs(spark):
+    # an entry each minute, an event half way through each of the same minutes, all of one text
+    n, seen = 400, []
+    learnt = [(i, i, 0, "cat") for i in range(n)] + [(n, 5000, 0, "owl")]
+    asked = [(10_000 + i, i, 1, "cat") for i in range(n)] + [(20_000, 5000, 1, "owl")]
+
+    def find(streams):
+        updates = streams["learnt"].select(fingerprint(F.col("props")).alias("fp"), F.col("event_id").cast("string").alias("target"), "ts")
+        found = keyed.stream_tm_asof(streams["asked"], updates, "5 hours", "30 minutes", "props")
+        seen.append(found._jdf.queryExecution().logical().toString())
+        return found
+
+    out, _ = run_in_turns(spark, [{"learnt": learnt[:200], "asked": asked[:150]}, {"learnt": learnt[200:], "asked": asked[150:]}], start_append, find)
+    assert "Join" not in seen[0]
+    got = {r.event_id: r.target for r in spark.read.parquet(out).collect()}
+    assert got == {10_000 + i: str(i) for i in range(n)}
