@@ -63,8 +63,7 @@ def level_join(
     a = _placed(left, on, "a_", present, base, ((0,), (1,)))
     b = _placed(right, on, "b_", present, base, ((0, 1), (0,)))
     keys = [*on, "_at", "_cx", "_cy", "_kind"]
-    count = F.count(F.lit(1))
-    sizes = a.groupBy(*keys).agg(count.alias("_na")).join(b.groupBy(*keys).agg(count.alias("_nb")), keys)
+    sizes = _sizes(a, None if right is left else _placed(right, on, "b_", present, base, ((0,), (1,))), keys)
     product = F.col("_na").cast("double") * F.col("_nb")
     crowded = stored(sizes.filter(product > float(crowd) * crowd), "crowded")
     if not crowded.isEmpty():
@@ -89,6 +88,26 @@ def level_join(
     )
 
 
+def _sizes(left: DataFrame, right: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Rows of both sides for each key, from one count of residents and visitors a cell; no right side is the left again."""
+    cell = keys[:-1]
+
+    def counted(side: DataFrame, residents: str, visitors: str) -> DataFrame:
+        return side.groupBy(*cell).agg(*[F.count_if(F.col("_kind") == k).alias(n) for k, n in ((0, residents), (1, visitors))])
+
+    both = counted(left, "_ra", "_va")
+    if right is None:
+        both = both.withColumns({"_rb": F.col("_ra"), "_vb": F.col("_va")})
+    else:
+        both = both.join(counted(right, "_rb", "_vb"), cell)
+    at_home = F.col("_kind") == 0
+    return both.withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        *keys,
+        F.when(at_home, F.col("_ra")).otherwise(F.col("_va")).alias("_na"),
+        F.when(at_home, F.col("_rb") + F.col("_vb")).otherwise(F.col("_rb")).alias("_nb"),
+    )
+
+
 def _dealt(side: DataFrame, groups: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
     """A side's rows with a group of their own and one copy for each group of the other side."""
     columns = [c for c in side.columns if c not in keys]

@@ -67,3 +67,17 @@ def test_null_sides_and_no_boxes(spark):
     df = spark.createDataFrame([(1, 0, None, 0, 5, 5, 1), (2, 0, 0, 0, 5, 5, 1)], SCHEMA)
     assert [(r.a_id, r.b_id) for r in level_join(df, df).collect()] == [(2, 2)]
     assert level_join(df.filter("1 = 0"), df).collect() == []
+
+
+def test_cells_of_one_table_are_counted_once(spark):
+    """Counts of a table met with itself are those of two tables with the same rows."""
+    from glossweave.plans.levels import _placed, _sizes
+
+    rows = [(1, i, i % 90 * 3, i % 70 * 5, i % 90 * 3 + 20 + i % 200, i % 70 * 5 + 40) for i in range(300)]
+    boxes = spark.createDataFrame(rows, "page long, id long, x0 long, y0 long, x1 long, y1 long")
+    keys = ["page", "_at", "_cx", "_cy", "_kind"]
+    a = _placed(boxes, ["page"], "a_", [0, 1], 128, ((0,), (1,)))
+    once, twice = (sorted(map(tuple, _sizes(a, other, keys).collect())) for other in (None, a))
+    b = _placed(boxes, ["page"], "b_", [0, 1], 128, ((0, 1), (0,)))
+    plain = a.groupBy(*keys).count().join(b.groupBy(*keys).count().withColumnRenamed("count", "n_b"), keys)
+    assert once == twice and [r for r in once if r[-1] and r[-2]] == sorted(map(tuple, plain.collect()))
