@@ -13,7 +13,7 @@ fingerprint has at most 2080 others within two bits, whatever the size of a grou
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -253,59 +253,67 @@ def wide_links(fps: DataFrame, radius: int = WIDE_BITS) -> DataFrame:
     return node_links(fps.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 0, 1, radius)
 
 
-def node_links(nodes: DataFrame, at: int, views: int, limit: int, radius: int = WIDE_BITS) -> DataFrame:
+def node_links(nodes: DataFrame, at: int | Sequence[int], views: int, limit: int, radius: int = WIDE_BITS) -> DataFrame:
     """Links (a, b) between nodes (node, fps) up to ``limit`` bits over all ``views`` fingerprints.
 
     Nodes are compared if they share a half of fingerprint ``at`` or differ in at most
-    ``radius`` (at most five) of its bits.  Of five differing bits, one 32-bit half holds
-    two at most, so both halves are joined through the popcount grid of their 2-bit
-    segments.  First the leaders of each half connect most of a group of near copies by a
+    ``radius`` (at most five) of its bits; of several fingerprints, if they do so in one.  Of
+    five differing bits, one 32-bit half holds two at most, so both halves are joined through
+    the popcount grid of their 2-bit segments.  First the leaders of each half connect most of a group of near copies by a
     number of links in proportion to its size.  Then all nodes that this has not connected
     are compared, those that gave way to a leader as well, so the links connect whatever
-    all pairs within the limit connect; they are not all pairs.
+    all pairs within the limit connect; they are not all pairs.  All fingerprints take
+    the rounds together, and the grid, the largest shuffle, one at a time.
     """
-    fp = F.col("fps")[at]
-    halves = F.explode(
-        F.array(
-            F.struct(F.lit(0).cast("long").alias("view"), fp.bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
-            F.struct(F.lit(1).cast("long").alias("view"), F.shiftrightunsigned(fp, 32).alias("half")),
-        )
-    ).alias("h")
-    members = stored(nodes.select("node", "fps", halves).select("node", "fps", "h.view", "h.half"), "halves")
-    everyone, links, before = members, [], None
+    at = [at] if isinstance(at, int) else list(at)
+
+    def half(i: int, low: bool) -> Column:
+        fp = F.col("fps")[i]
+        bits = fp.bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(fp, 32)
+        return F.struct(F.lit(2 * i + (not low)).cast("long").alias("view"), bits.alias("half"))
+
+    halves = F.explode(F.array(*[half(i, low) for i in at for low in (True, False)])).alias("h")
+    everyone = stored(nodes.select("node", "fps", halves).select("node", "fps", "h.view", "h.half"), "halves")
+    members, links, before = everyone, [], {}
     while True:
         # groups of many members are split, and their leaders meet in the next round
         sizes = members.groupBy("view", "half").agg(F.count("node").alias("n")).filter(f"n > {FOLD}")
         crowded = stored(sizes, "crowded")
-        largest = crowded.agg(F.max("n")).first()[0] or 0
-        if largest and before and 2 * largest > before:
-            break  # crowds of unlike nodes, which leaders do not thin out
-        split = members
-        if largest:
+        largest = {r["view"]: r["n"] for r in crowded.groupBy("view").agg(F.max("n").alias("n")).collect()}
+        # crowds of unlike nodes are left, since leaders do not thin them out
+        stuck = [view for view, n in largest.items() if 2 * n > before.get(view, 2 * n)]
+        split = members.filter(~F.col("view").isin(stuck)) if stuck else members
+        before = {view: n for view, n in largest.items() if view not in stuck}
+        if before:
             parts = F.ceil(F.coalesce("n", F.lit(1)) / (FOLD // 2))
-            split = members.join(crowded, ["view", "half"], "left").select(
+            split = split.join(crowded, ["view", "half"], "left").select(
                 "node", "fps", "view", "half", F.pmod(F.xxhash64("node"), parts).alias("part")
             )
         met = stored(_leaders(split, views, limit), "leaders")
         links.append(met.select(F.inline("met.links")))
-        members = met.select(F.explode("met.leaders").alias("led"), "view", "half").select("led.*", "view", "half")
-        if not largest:
+        if not before:
             break
-        before = largest
+        leaders = met.select(F.explode("met.leaders").alias("led"), "view", "half").select("led.*", "view", "half")
+        members = leaders.join(crowded, ["view", "half"], "left_semi")
     links = [stored(union_all(links).distinct(), "led")]
     everyone = stored(everyone.join(components(links[0]), "node", "left"), "rooted")
-    links.append(_between_roots(everyone.withColumn("root", F.coalesce("root", "node")), views, limit))
-    # a fingerprint has a root if all its nodes have that one
-    one_root = F.when(F.min(F.coalesce("root", "node")) == F.max(F.coalesce("root", "node")), F.min("root"))
-    cells = everyone.withColumn("fp", fp).withColumn("cell", cell_of(F.col("half"), 2) + F.col("view") * (1 << 50))
-    cells = cells.groupBy("fp", "cell").agg(one_root.alias("root"))
-    holders = nodes.select(fp.alias("fp"), "node", "fps")
-    a = holders.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("fps").alias("fa"))
-    b = holders.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("fps").alias("fb"))
-    close = _differ(F.col("fa"), F.col("fb"), views) <= limit
-    near = _grid_join(cells, radius).join(a, "a")
-    met = near.join(b, (near["b"] == b["b"]) & close).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    return union_all([*links, met])
+    between = _between_roots(everyone.withColumn("root", F.coalesce("root", "node")), views, limit)
+    links.append(stored(between, "between"))
+    # a fingerprint has a root if all its nodes have that one; a node without links has none
+    same = (F.count("root") == F.count("node")) & (F.min("root") == F.max("root"))
+    for i in at:
+        fp = F.col("fps")[i]
+        cells = everyone.filter(F.col("view").isin(2 * i, 2 * i + 1)).withColumn("fp", fp)
+        cells = cells.withColumn("cell", cell_of(F.col("half"), 2) + F.pmod("view", F.lit(2)) * (1 << 50))
+        cells = cells.groupBy("fp", "cell").agg(F.when(same, F.min("root")).alias("root"))
+        holders = nodes.select(fp.alias("fp"), "node", "fps")
+        a = holders.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("fps").alias("fa"))
+        b = holders.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("fps").alias("fb"))
+        close = _differ(F.col("fa"), F.col("fb"), views) <= limit
+        near = _grid_join(cells, radius).join(a, "a")
+        met = near.join(b, (near["b"] == b["b"]) & close).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        links.append(stored(met, "near"))
+    return union_all(links)
 
 
 def near_groups(
@@ -370,9 +378,8 @@ def _near_rows(
     )
     views = len(seeds)
     limit = int(share * 64 * views)
-    links = [node_links(nodes.select("node", "fps"), i, views, limit, radius) for i in range(views)]
-    pairs = stored(union_all(links).distinct(), "pairs")
-    roots = stored(components(pairs), "roots").withColumnRenamed("node", "_node")
+    links = node_links(nodes.select("node", "fps"), range(views), views, limit, radius)
+    roots = stored(components(links), "roots").withColumnRenamed("node", "_node")
     linked = nodes.join(roots, F.col("node") == F.col("_node")).select("node", "root", "lowest")
     named = linked.groupBy("root").agg(F.min("lowest").alias("first"))
     whole = stored(

@@ -214,3 +214,44 @@ def test_representatives_are_chosen_row_by_row(spark):
     got = [(r["doc_id"], r["text"]) for r in keep_representatives(docs).collect()]
     group = {t: i for i, pair in enumerate(zip(own, near)) for t in pair}
     assert sorted((group[t], i or 0) for i, t in got) == [(0, 1), (1, 0), (2, 0), (3, 2), (4, 3), (5, 4)]
+
+
+@pytest.mark.parametrize("fold", [400, 4])
+def test_all_fingerprints_in_one_go_connect_what_their_pairs_do(spark, monkeypatch, fold):
+    # crowds that share a half of some fingerprint, thinned in one and not in another
+    monkeypatch.setattr(simhash, "FOLD", fold)
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [rng.getrandbits(64) if g % 3 else 77 | rng.getrandbits(32) << 32, rng.getrandbits(64), 5 if g % 2 else rng.getrandbits(64)]
+        for _ in range(6):
+            flips = [sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in base]
+            rows.append(three(len(rows), *[f ^ x for f, x in zip(base, flips)]))
+    total = lambda a, b: sum(apart(x, y) for x, y in zip(a, b))
+    half = lambda x, y: (x ^ y) & 0xFFFFFFFF == 0 or ((x ^ y) >> 32) & 0xFFFFFFFF == 0
+    pairs = [
+        (i, j) for i, a in rows for j, b in rows
+        if i < j and total(a, b) <= 23 and any(half(x, y) or apart(x, y) <= 5 for x, y in zip(a, b))
+    ]
+    find = linked(simhash.node_links(spark.createDataFrame(rows, "node long, fps array<long>"), range(3), 3, 23).collect(), range(len(rows)))
+
+    class Pair:
+        def __init__(self, a, b):
+            self.a, self.b = a, b
+
+    want = linked([Pair(*p) for p in pairs], range(len(rows)))
+    same = lambda f: {(i, j) for i, _ in rows for j, _ in rows if f(i) == f(j)}
+    assert len(pairs) > 60 and same(find) == same(want)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    from glossweave.session import CLEANUP, stored
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (held.apply(i).getName() for i in range(held.size())) if f.startswith("shuffle_")}
+
+    before = files()
+    step = stored(spark.range(5000).groupBy((F.col("id") % 77).alias("k")).agg(F.count("id").alias("n")))
+    assert not files() - before and spark.conf.get(CLEANUP, None) is None
+    assert step.count() == 77 and step.agg(F.sum("n")).first()[0] == 5000
