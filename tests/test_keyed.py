@@ -143,3 +143,19 @@ def test_many_events_and_entries_of_one_text_form_no_pairs(spark):
     assert "Join" not in seen[0]
     got = {r.event_id: r.target for r in spark.read.parquet(out).collect()}
     assert got == {10_000 + i: str(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_expiries_of_many_keys_take_few_rows_of_state(spark, kind):
+    uses = [(100 * b + u, b * 200 + u % 7, u, "a") for b in range(3) for u in range(60)]
+    steps = [{"e": uses[:60]}, {"e": uses[60:]}, {"e": [(999, 9000, 77, "a")]}, {"e": [(1000, None, 1, "a")]}]
+
+    def expire(streams):
+        rows = streams["e"].withColumn("user_id", F.col("user_id").cast(kind))
+        return keyed.stream_expire_timers(rows, 3600, "2 hours", buckets=4)
+
+    out, log = run_in_turns(spark, steps[:2], start_append, expire)
+    assert spark.read.format("statestore").option("stateVarName", "runs").load(log).count() <= 4
+    out, _ = run_in_turns(spark, steps, start_append, expire)
+    got = sorted((str(r.user_id), r.last_use, r.n_uses) for r in spark.read.parquet(out).collect())
+    assert got == sorted((str(u), T0 + dt.timedelta(minutes=m), 1) for _, m, u, _ in uses)
