@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glossweave.functions.boxes import area, iou, overlap_area
 from glossweave.plans.levels import level_join
-from glossweave.plans.scale import HOT_ROWS, grid_cells, grid_exists, grid_join, running_max_before, running_sum
+from glossweave.plans.scale import HOT_ROWS, grid_cells, grid_exists, grid_join, hot_keys, running_max_before, running_sum
 from glossweave.session import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -22,6 +22,8 @@ CELL = 128
 DENSE = 2_000
 #: Boxes that one task decides together in greedy suppression.
 FOLD = 500
+#: Rounds of cuts in one pass over the groups that fit a task.
+ROUNDS = 3
 
 
 def _met(left: DataFrame, right: DataFrame, cell: int | None) -> DataFrame:
@@ -250,8 +252,9 @@ def assign_to_panels(regions: DataFrame, panels: DataFrame, cell: int | None = N
     """Best panel per region by shared area (lower panel number on ties), null if none.
 
     Regions and panels of any size meet on a grid with levels; ``cell`` fixes one cell size.
+    The distinct boxes are written to the shared folder, since the grid looks them up first.
     """
-    boxes = regions.select("page", *BOX).distinct()
+    boxes = stored(regions.select("page", *BOX).distinct(), "boxes")
     best = (
         _met(boxes, panels.select("page", "panel_no", *BOX), cell)
         .groupBy("page", *[F.col(f"a_{c}").alias(c) for c in BOX])
@@ -293,17 +296,21 @@ def reading_order(
     ).select("page", "panel_no", "id", "ord")
 
 
+def _gap(axis: str, reach: Column) -> Column:
+    """1 where a box begins at or behind the reach of those before it, else 0."""
+    return F.coalesce((F.col(f"{axis}0") >= reach).cast("int"), F.lit(0))
+
+
 def _cut(df: DataFrame, axis: str, backwards: bool, limit: int) -> DataFrame:
     """Append to ``path`` the part a box falls into when its group is cut at gaps along an axis.
 
     A gap is a stretch of the axis that no box of the group covers.  ``_parts`` counts the
     gaps found so far in the group, up to the box.
     """
-    low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
-    keys, order = ["page", "panel_no", "path"], [low, high, F.col("id")]
-    reach = running_max_before(df, keys, order, high, "_reach", limit)
-    gap = F.coalesce((low >= F.col("_reach")).cast("int"), F.lit(0))
-    cut = running_sum(reach.withColumn("_gap", gap), keys, order, F.col("_gap"), "_part", limit)
+    high = F.col(f"{axis}1")
+    keys, order = ["page", "panel_no", "path"], [F.col(f"{axis}0"), high, F.col("id")]
+    reach = stored(running_max_before(df, keys, order, high, "_reach", limit), "cuts")
+    cut = running_sum(reach.withColumn("_gap", _gap(axis, F.col("_reach"))), keys, order, F.col("_gap"), "_part", limit)
     part = F.col("_part").cast("long")
     return cut.select(
         "page", "panel_no", "id", *BOX, F.concat("path", F.array(-part if backwards else part)).alias("path"),
@@ -311,6 +318,61 @@ def _cut(df: DataFrame, axis: str, backwards: bool, limit: int) -> DataFrame:
     )
 
 
+def _cut_spread(boxes: DataFrame, axes: list, order: list, limit: int) -> DataFrame:
+    """(page, panel_no, id, ord) of groups too large for a task: a level of nesting is a round, windowed in chunks."""
+    live = boxes.withColumns({"path": F.array().cast("array<bigint>"), "_parts": F.lit(0).cast("long")})
+    settled: list[DataFrame] = []
+    while True:
+        for axis, backwards in axes:
+            live = stored(_cut(live, axis, backwards, limit), "cuts")
+        # a part goes on if its group, known by the path before this round, was cut
+        group = ["page", "panel_no", F.slice("path", F.lit(1), F.size("path") - 2).alias("_from")]
+        cut = live.groupBy(*group).agg(F.max("_parts").alias("_most")).filter("_most > 0")
+        keyed = live.withColumn("_from", F.slice("path", F.lit(1), F.size("path") - 2))
+        keys = ["page", "panel_no", "_from"]
+        settled.append(keyed.join(cut, keys, "left_anti").drop("_from"))
+        more = stored(keyed.join(cut, keys, "left_semi").drop("_from").withColumn("_parts", F.lit(0).cast("long")), "cuts")
+        if more.isEmpty():
+            break
+        live = more
+    rows = stored(reduce(DataFrame.unionByName, settled), "cuts")
+    return running_sum(rows, ["page", "panel_no"], [F.col("path"), *order], F.lit(1), "ord", limit).select(
+        "page", "panel_no", "id", "ord"
+    )
+
+
+def _cut_together(boxes: DataFrame, axes: list, order: list) -> DataFrame:
+    """(page, panel_no, id, ord) of groups that fit a task, ``ROUNDS`` levels of nesting in a pass.
+
+    A pass shuffles its boxes once: all its windows keep a group where it is.  Groups that
+    its last round still cut go on in another pass, from the parts they have by then.
+    """
+    group, settled = ["page", "panel_no"], []
+    live = boxes.withColumn("_part", F.lit(0).cast("long"))
+    while True:
+        live, path = live.repartition(*group), ["_part"]
+        for no in range(ROUNDS):
+            for axis, backwards in axes:
+                along = Window.partitionBy(*group, *path).orderBy(f"{axis}0", f"{axis}1", "id")
+                reach = F.max(f"{axis}1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+                live = live.withColumn("_gap", _gap(axis, reach))
+                part = F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                path.append(f"_{axis}{no}")
+                live = live.withColumn(path[-1], -part if backwards else part).drop("_gap")
+        read = Window.partitionBy(*group).orderBy(*path, *order)
+        last = F.greatest(*[F.abs(step) for step in path[-2:]])
+        live = live.withColumn("ord", F.row_number().over(read).cast("long")).withColumns({
+            "_part": F.min("ord").over(Window.partitionBy(*group, *path)),
+            "_open": F.max(last).over(Window.partitionBy(*group)) > 0,
+        })
+        kept = [F.when(F.col("_open"), F.col(c)).alias(c) for c in (*BOX, "_part")]
+        live = stored(live.select(*group, "id", "ord", "_open", *kept), "cuts")
+        settled.append(live.filter("NOT _open").select(*group, "id", "ord"))
+        live = live.filter("_open").select(*group, "id", *BOX, "_part")
+        if live.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+
+
 def reading_order_cuts(regions: DataFrame, direction: str = "rtl", limit: int = HOT_ROWS) -> DataFrame:
     """Order of regions inside (page, panel) by recursive cuts: page, panel_no, id, ord.
 
@@ -319,43 +381,31 @@ def reading_order_cuts(regions: DataFrame, direction: str = "rtl", limit: int =
     columns of a row in the direction; ``vertical`` cuts into columns first, read from the
     right.  Boxes of one part, which overlap in both projections, are read by their upper
     edge, then across.  No row height is assumed, so staggered panels keep together.
-    Each level of nesting is one round over the parts that were cut in the last one, written
-    to the shared folder; a group that holds a large share of all rows is windowed in chunks.
+    The regions are written to the shared folder once.  Groups of at most ``limit`` boxes are
+    cut in place, some levels of nesting for each shuffle; a larger one is cut in rounds over
+    the parts that were cut in the last one, windowed in chunks.
     Regions without a panel form a group numbered -1; a null edge comes first and cuts nothing.
     """
     if direction not in ("rtl", "ltr", "vertical"):
         raise ValueError(f"unknown direction {direction!r}")
     across = F.col("x0") if direction == "ltr" else -F.col("x1")
     axes = [("x", True), ("y", False)] if direction == "vertical" else [("y", False), ("x", direction == "rtl")]
-    live = regions.select(
-        "page", F.coalesce("panel_no", F.lit(-1)).alias("panel_no"), "id", *BOX,
-        F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("long").alias("_parts"),
-    )
-    settled: list[DataFrame] = []
-    while True:
-        for axis, backwards in axes:
-            live = _cut(live, axis, backwards, limit)
-        live = stored(live, "cuts")
-        # a part goes on if its group, known by the path before this round, was cut
-        group = ["page", "panel_no", F.slice("path", F.lit(1), F.size("path") - 2).alias("_from")]
-        cut = live.groupBy(*group).agg(F.max("_parts").alias("_most")).filter("_most > 0")
-        keyed = live.withColumn("_from", F.slice("path", F.lit(1), F.size("path") - 2))
-        keys = ["page", "panel_no", "_from"]
-        settled.append(keyed.join(cut, keys, "left_anti").drop("_from"))
-        more = stored(keyed.join(cut, keys, "left_semi").drop("_from").withColumn("_parts", F.lit(0).cast("long")), "cuts")
-        if more.isEmpty():
-            break
-        live = more
-    rows = reduce(DataFrame.unionByName, settled)
-    order = [F.col("path"), F.col("y0"), across, F.col("id")]
-    if direction == "vertical":
-        order = [F.col("path"), across, F.col("y0"), F.col("id")]
-    return running_sum(rows, ["page", "panel_no"], order, F.lit(1), "ord", limit).select("page", "panel_no", "id", "ord")
+    order = [across, F.col("y0"), F.col("id")] if direction == "vertical" else [F.col("y0"), across, F.col("id")]
+    group = ["page", "panel_no"]
+    boxes = stored(
+        regions.select("page", F.coalesce("panel_no", F.lit(-1)).alias("panel_no"), "id", *BOX), "boxes"
+    )
+    hot = hot_keys(boxes, group, limit)
+    if hot is None:
+        return _cut_together(boxes, axes, order)
+    fit = boxes.join(hot, group, "left_anti")
+    large = boxes.join(hot.select(*group), group, "left_semi")
+    return _cut_together(fit, axes, order).unionByName(_cut_spread(large, axes, order, limit))
 
 
 def _covered(boxes: DataFrame, protected: DataFrame, cell: int | None) -> DataFrame:
     """Protected area under each distinct box, and how many protected boxes it meets."""
-    shapes = boxes.select("page", *BOX).distinct()
+    shapes = stored(boxes.select("page", *BOX).distinct(), "boxes")
     art = protected.groupBy("page", *BOX).agg(F.count(F.lit(1)).alias("n"))
     return (
         _met(shapes, art, cell)

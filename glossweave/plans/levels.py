@@ -33,9 +33,14 @@ def level_of(base: int = BASE) -> Column:
 
 
 def _placed(df: DataFrame, on: Sequence[str], prefix: str, present: list[int], base: int, kinds: tuple) -> DataFrame:
-    """Rows of a side in every cell they are sent to; ``kinds`` of residents and of visitors."""
+    """Rows of a side in every cell they are sent to; ``kinds`` of residents and of visitors.
+
+    ``present`` are the levels of the other side.  A box visits those above its own, and is
+    at home only if the other side has a box as small as itself, or smaller, to meet there.
+    """
     level, size = F.col("_level"), F.call_function("shiftleft", F.lit(base).cast("long"), F.col("_at"))
-    upward = F.filter(F.array(*[F.lit(x) for x in present]), lambda x: x >= level)
+    home = F.when(level >= min(present), F.array(level)).otherwise(F.array().cast("array<int>"))
+    upward = F.concat(home, F.filter(F.array(*[F.lit(x) for x in present]), lambda x: x > level))
     cells = [F.sequence(F.floor(F.col(f"{a}0") / size), F.floor(F.col(f"{a}1") / size)) for a in ("x", "y")]
     resident, visitor = (F.array(*[F.lit(k) for k in ks]) for ks in kinds)
     return (
@@ -57,13 +62,14 @@ def level_join(
     are looked up first, in two passes over the boxes.  Boxes with a null side meet nothing.
     """
     on = list(on)
-    kinds = left.select(level_of(base).alias("l")).unionByName(right.select(level_of(base).alias("l"))).distinct()
-    present = sorted(r["l"] for r in kinds.limit(TOP_LEVEL + 1).collect()) or [0]
+    sides = [side.select(level_of(base).alias("l"), F.lit(i).alias("side")) for i, side in enumerate((left, right))]
+    found = sides[0].unionByName(sides[1]).distinct().limit(2 * (TOP_LEVEL + 1)).collect()
+    ours, theirs = (sorted(r["l"] for r in found if r["side"] == i) or [0] for i in (0, 1))
     # kind 0: residents of the left side with everything; kind 1: its visitors with residents
-    a = _placed(left, on, "a_", present, base, ((0,), (1,)))
-    b = _placed(right, on, "b_", present, base, ((0, 1), (0,)))
+    a = _placed(left, on, "a_", theirs, base, ((0,), (1,)))
+    b = _placed(right, on, "b_", ours, base, ((0, 1), (0,)))
     keys = [*on, "_at", "_cx", "_cy", "_kind"]
-    sizes = _sizes(a, None if right is left else _placed(right, on, "b_", present, base, ((0,), (1,))), keys)
+    sizes = _sizes(a, None if right is left else _placed(right, on, "b_", ours, base, ((0,), (1,))), keys)
     product = F.col("_na").cast("double") * F.col("_nb")
     crowded = stored(sizes.filter(product > float(crowd) * crowd), "crowded")
     if not crowded.isEmpty():

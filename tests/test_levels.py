@@ -81,3 +81,18 @@ def test_cells_of_one_table_are_counted_once(spark):
     b = _placed(boxes, ["page"], "b_", [0, 1], 128, ((0, 1), (0,)))
     plain = a.groupBy(*keys).count().join(b.groupBy(*keys).count().withColumnRenamed("count", "n_b"), keys)
     assert once == twice and [r for r in once if r[-1] and r[-2]] == sorted(map(tuple, plain.collect()))
+
+
+def test_boxes_are_sent_only_to_levels_of_the_other_side(spark, monkeypatch):
+    sent, place = [], levels._placed
+
+    def placed(*args):
+        sent.append(place(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(levels, "_placed", placed)
+    box = "page long, id long, x0 long, y0 long, x1 long, y1 long"
+    small = spark.createDataFrame([(0, i, 10 * i, 0, 10 * i + 5, 5) for i in range(10)] + [(0, 10, 0, 0, 200, 9)], box)
+    large = spark.createDataFrame([(0, 0, 0, 0, 470, 437)], box)
+    assert level_join(small, large).count() == 11
+    assert {(r["_at"], r["_kind"]) for r in sent[0].collect()} == {(2, 1)}

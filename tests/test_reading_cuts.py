@@ -77,3 +77,27 @@ def test_null_edges_and_no_boxes(spark):
     df = spark.createDataFrame([(0, 0, 1, None, None, None, None), (0, 0, 2, 0, 0, 5, 5), (0, 0, 3, 9, 9, 12, 12)], SCHEMA)
     assert [r.id for r in sorted(reading_order_cuts(df, "ltr").collect(), key=lambda r: r.ord)] == [1, 2, 3]
     assert reading_order_cuts(df.filter("1 = 0")).collect() == []
+
+
+def test_nested_deeper_than_one_pass(spark):
+    # each level is a bar over the whole width, a post over the height that is left, and the next level
+    boxes = []
+    for i in range(8):
+        at, end = 10 * i, 200
+        boxes += [(2 * i, at, at, end, at + 5), (2 * i + 1, at, at + 10, at + 5, end)]
+    df = spark.createDataFrame([(0, 0, *b) for b in boxes], SCHEMA)
+    got = [r.id for r in sorted(reading_order_cuts(df, "rtl").collect(), key=lambda r: r.ord)]
+    assert got == brute(boxes, "rtl")
+
+
+def test_computes_its_input_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        computed.add(1)
+        return row
+
+    rows = [(i % 3, 0, i, 10 * i, 0, 10 * i + 5, 5) for i in range(30)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), SCHEMA)
+    assert len(reading_order_cuts(df).collect()) == 30
+    assert computed.value == 30
