@@ -15,6 +15,10 @@ from glossweave.session import stored
 from glossweave.sources.files import MANIFEST_SCHEMA
 
 
+#: Levels of nesting that one pass takes apart.
+LEVELS = 4
+
+
 def read_json_leaves(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """One row per leaf of every JSON file or line: file, key, value, kind, corrupt.
 
@@ -22,30 +26,45 @@ def read_json_leaves(spark: SparkSession, path: str, whole_file: bool = True) ->
     is written ``\\.``); the top itself has the key ``""``.  ``value`` is the leaf as text, null
     for JSON's null, and ``kind`` its type as Spark names it.  An empty object or array is a
     leaf with a null value.  Text that is not JSON, or names a key twice, gives one row with
-    the text in ``corrupt`` and all else null, so it can be counted and looked at.  Each
-    level of nesting is one round over the rows that are still objects or arrays.
+    the text in ``corrupt`` and all else null, so it can be counted and looked at.  Files are
+    read and parsed once and taken apart ``LEVELS`` levels deep in one pass; what is still an
+    object or array then goes on in another.
     """
+    return _leaves(spark, path, whole_file, F.col("file"))
+
+
+def _leaves(spark: SparkSession, path: str, whole_file: bool, source: Column) -> DataFrame:
+    """The leaves with ``source``, an expression of the column ``file`` named once for each text, not for each leaf."""
     raw = spark.read.text(path, wholetext=whole_file).select(F.col("_metadata.file_path").alias("file"), "value")
-    parsed = raw.filter(F.trim("value") != "").select("file", F.try_parse_json("value").alias("v"), "value")
-    empty = F.lit(None).cast("string")
-    broken = parsed.filter("v IS NULL").select(
-        "file", empty.alias("key"), empty.alias("value"), empty.alias("kind"), F.col("value").alias("corrupt")
-    )
-    live = parsed.filter("v IS NOT NULL").select("file", F.lit("").alias("key"), "v")
-    leaves = [broken]
+    parsed = raw.filter(F.trim("value") != "").select(source, "value", F.try_parse_json("value").alias("v"))
+    name, empty = parsed.columns[0], F.lit(None).cast("string")
+    corrupt = F.when(F.col("v").isNull(), F.col("value"))
+    live = parsed.select(name, F.when(F.col("v").isNotNull(), F.lit("")).alias("key"), "v", corrupt.alias("corrupt"))
+    leaves = []
     while True:
-        typed = stored(live.withColumn("kind", F.schema_of_variant("v")), "json")
-        nested = F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.col("v").cast("string").isin("{}", "[]")
-        open_rows = typed.filter(nested)
-        value = F.when(F.col("kind").rlike("^(OBJECT|ARRAY)<|^VOID$"), empty).otherwise(F.col("v").cast("string"))
-        leaves.append(
-            typed.filter(~nested).select("file", "key", value.alias("value"), "kind", empty.alias("corrupt"))
+        for _ in range(LEVELS):
+            live = _opened(spark, live, name)
+        text, kind = F.col("v").cast("string"), F.col("kind")
+        is_open = kind.rlike("^(OBJECT|ARRAY)<") & ~text.isin("{}", "[]")
+        value = F.when(kind.rlike("^(OBJECT|ARRAY)<|^VOID$"), empty).otherwise(text)
+        typed = live.withColumn("kind", F.schema_of_variant("v")).withColumn("_open", F.coalesce(is_open, F.lit(False)))
+        found = stored(
+            typed.select(name, "key", value.alias("value"), "kind", "corrupt", F.when(F.col("_open"), F.col("v")).alias("v")),
+            "json",
         )
-        if open_rows.isEmpty():
+        leaves.append(found.filter("v IS NULL").drop("v"))
+        live = found.filter("v IS NOT NULL").select(name, "key", "v", "corrupt")
+        if live.isEmpty():
             return reduce(DataFrame.unionByName, leaves)
-        inner = spark.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_name", "_inner")
-        met = open_rows.select("file", "key", "v").lateralJoin(inner)
-        live = met.select("file", _join("key", F.coalesce("_name", F.col("_pos").cast("string"))).alias("key"), F.col("_inner").alias("v"))
+
+
+def _opened(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Objects and arrays replaced by what they hold; leaves, empty ones and broken texts as they are."""
+    inner = spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_name", "_inner")
+    held = F.col("_pos").isNotNull()
+    key = F.when(held, _join("key", F.coalesce("_name", F.col("_pos").cast("string")))).otherwise(F.col("key"))
+    v = F.when(held, F.col("_inner")).otherwise(F.col("v"))
+    return rows.lateralJoin(inner).select(name, key.alias("key"), v.alias("v"), "corrupt")
 
 
 def _join(key: str, name: Column) -> Column:
@@ -58,7 +77,7 @@ def read_nested_catalogs(
 ) -> DataFrame:
     """Message files with nested messages as (lang, key, value, corrupt); see ``read_json_leaves``."""
     lang = F.regexp_extract("file", lang_pattern, 1).alias("lang")
-    return read_json_leaves(spark, path, whole_file).select(lang, "key", "value", "corrupt")
+    return _leaves(spark, path, whole_file, lang).select("lang", "key", "value", "corrupt")
 
 
 def unknown_manifest_keys(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+from glossweave.sources import nested
 from glossweave.sources.nested import read_json_leaves, read_nested_catalogs, unknown_manifest_keys
 
 
@@ -46,3 +47,18 @@ def test_lines_and_no_lines(spark, tmp_path):
     empty.mkdir()
     (empty / "y.json").write_text("")
     assert read_json_leaves(spark, str(empty), whole_file=False).collect() == []
+
+
+def test_levels_share_a_pass(spark, tmp_path, monkeypatch):
+    written, store = [], nested.stored
+    monkeypatch.setattr(nested, "stored", lambda *args: written.append(args[1]) or store(*args))
+    path = write(tmp_path, {"de.json": {"a": {"b": {"c": ["x", "{}", None, {}]}}}, "fr.json": "{", "ja.json": "null"})
+
+    def rows():
+        return {(r.lang, r.key, r.value, r.corrupt) for r in read_nested_catalogs(spark, path).collect()}
+
+    flat = {("de", "a.b.c.0", "x", None), ("de", "a.b.c.1", "{}", None), ("de", "a.b.c.2", None, None), ("de", "a.b.c.3", None, None),
+            ("fr", None, None, "{"), ("ja", "", None, None)}
+    assert rows() == flat and len(written) == 1
+    write(tmp_path, {"ko.json": {"a": [[[[[{"b": "deep"}, []]]]]]}})
+    assert rows() == flat | {("ko", "a.0.0.0.0.0.b", "deep", None), ("ko", "a.0.0.0.0.1", None, None)} and len(written) == 3
