@@ -103,6 +103,9 @@ def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
     The left side goes to its own cell and to every cell + e_i; the right side to its
     own cell and to every cell - e_j and + e_j.  Each case is accepted in one meeting
     cell only, so every pair comes out once.
+
+    Spark sizes each side as before its rows are copied (17 and 34 times), so left to its
+    estimate it would collect one of them on the driver.  Both are shuffled instead.
     """
     step = [1 << (FIELD * i) for i in range(SEGMENTS)]
     moved = 1 << 62  # keeps the meetings of unmoved left rows apart from those of moved ones
@@ -143,7 +146,7 @@ def _grid_join(cells: DataFrame, radius: int) -> DataFrame:
     if "root" in cells.columns:
         close = F.coalesce(F.col("a_root") != F.col("b_root"), F.lit(True)) & close
     met = left.withColumnRenamed("cell", "a_cell").join(
-        right, (F.col("a_cell") == F.col("cell")) & close & once
+        right.hint("merge"), (F.col("a_cell") == F.col("cell")) & close & once
     )
     return met.select("a", "b")
 
@@ -245,7 +248,8 @@ def _between_roots(members: DataFrame, views: int, limit: int) -> DataFrame:
     once = (F.col("ra") != F.col("rb")) & (F.col("many") | (F.col("a") < F.col("b")))
     same = [left[c] == right[c] for c in (*group, "i", "j")]
     close = _differ(F.col("fa"), F.col("fb"), views) <= limit
-    return left.join(right, same[0] & same[1] & same[2] & same[3] & once & close).select("a", "b")
+    # rows are copied once a block, which Spark's estimate of their size leaves out
+    return left.join(right.hint("merge"), same[0] & same[1] & same[2] & same[3] & once & close).select("a", "b")
 
 
 def wide_links(fps: DataFrame, radius: int = WIDE_BITS) -> DataFrame:

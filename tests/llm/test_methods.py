@@ -79,6 +79,13 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_pairs_leave_the_copied_rows_on_the_executors(spark):
+    # 235,650 fingerprints were sized below the limit of a broadcast, and one side has 17 times as many rows
+    fps = spark.range(20_000).select(F.xxhash64("id").alias("fp"))
+    plan = near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_cells_bound_the_distance(spark):
     rng = random.Random(4)
     rows = [(rng.getrandbits(64) - 2**63,) for _ in range(50)]
